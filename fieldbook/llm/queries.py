@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import url_filter
+from fieldbook.llm import mixing, url_filter
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -21,8 +21,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_url_filter": op10_url_filter}
+    return {"op9_mixing": op9_mixing, "op10_url_filter": op10_url_filter}
 
 
 URL_FILTER_SQL = """
@@ -40,5 +44,30 @@ from parts left join (select * from fits where k = 1) using (n)
 """
 
 
+_DRAWS = mixing.offsets()
+MIXING_SQL = f"""
+with d as (select doc_id, source, row_number() over () as n,
+  coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w from s),
+l as (select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over p, 0))
+    / (sum(w) over () - coalesce(sum(w) over p, 0))::double as level
+  from w window p as (order by source_size * 3 / w, source nulls last rows between unbounded preceding and 1 preceding)),
+free as (select arg_min(level, 3 * source_size / w) as level from l where level * w <= 3 * source_size),
+t as (select source, source_size, least((3 * source_size)::double, free.level * w) as target from l, free),
+r as (select *, case when source_size > 0 then least(floor(target / source_size * {mixing.UNIT})::bigint, 3 * {mixing.UNIT}) else 0 end as rate from t),
+k as (select d.*, source_size, target, rate, (row_number() over (partition by d.source
+    order by length(bin(size)), doc_id % {mixing.SLICES} nulls first, size, doc_id) * rate)::bigint as ending
+  from d join r on d.source is not distinct from r.source),
+u as (select i, u from (select unnest({list(range(len(_DRAWS)))}) as i, unnest({_DRAWS}) as u)),
+e as (select source, i, u, abs(sum((((ending + u) >> {mixing.BITS}) - ((ending + u - rate) >> {mixing.BITS})) * size) - max(target)) as off
+  from k, u group by source, i, u),
+c as (select source, arg_min(u, (off, i)) as u from e group by source)
+select doc_id, size, source_size, target, ((ending + u) >> {mixing.BITS}) - ((ending + u - rate) >> {mixing.BITS}) as copies,
+  (((ending + u) >> {mixing.BITS}) - ((ending + u - rate) >> {mixing.BITS})) * size as taken
+from k join c on k.source is not distinct from c.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": URL_FILTER_SQL}
+    return {"op9_mixing": MIXING_SQL, "op10_url_filter": URL_FILTER_SQL}
