@@ -30,7 +30,7 @@ def _table(fold_case: bool) -> np.ndarray:
     return t
 
 
-FOLDED = _table(True)
+FOLDED, PLAIN = _table(True), _table(False)
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -85,26 +85,26 @@ def buffer(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(text.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text: hashes with A-Z folded, and per text the first and past-last word."""
-    if not len(data):
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of True that do not cross texts: their starts and ends, and per text its first and past-last run."""
+    if not len(inside):
         zero = np.zeros(len(offsets) - 1, dtype=np.int64)
-        return np.zeros(0, dtype=U64), zero, zero
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    before = np.empty_like(inside)
-    before[0] = False
-    before[1:] = inside[:-1]
-    cuts = offsets[(offsets < len(data))]
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), zero, zero
+    cuts = offsets[offsets < len(inside)]
+    before, after = np.empty_like(inside), np.empty_like(inside)
+    before[0], after[-1] = False, False
+    before[1:], after[:-1] = inside[:-1], inside[1:]
     before[cuts] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty_like(inside)
-    after[-1] = False
-    after[:-1] = inside[1:]
     after[cuts[cuts > 0] - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    hashes = span_hash(rolling(FOLDED[data]), starts, ends)
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     edges = np.searchsorted(starts, offsets)
-    return hashes, edges[:-1], edges[1:]
+    return starts, ends, edges[:-1], edges[1:]
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text: hashes with A-Z folded, and per text the first and past-last word."""
+    starts, ends, first, last = spans(~((data == 32) | ((data >= 9) & (data <= 13))), offsets)
+    return (span_hash(rolling(FOLDED[data]), starts, ends) if len(starts) else np.zeros(0, dtype=U64)), first, last
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
