@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import mixing, packing, url_filter
+from fieldbook.llm import language, mixing, packing, simhash, url_filter
 
 #: Folder of the public tokenizers' files, None for the installed package of that name.
 TOKENIZERS: str | None = None
@@ -32,6 +32,14 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -41,7 +49,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_packing": op5_packing, "op9_mixing": op9_mixing, "op10_url_filter": op10_url_filter}
+    return {"op1_language_id": op1_language_id, "op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_mixing": op9_mixing, "op10_url_filter": op10_url_filter}
 
 
 URL_FILTER_SQL = """
