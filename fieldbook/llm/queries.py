@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import language, mixing, packing, simhash, url_filter
+from fieldbook.llm import chat, counting, language, mixing, packing, simhash, topk, url_filter
 
 #: Folder of the public tokenizers' files, None for the installed package of that name.
 TOKENIZERS: str | None = None
@@ -36,6 +36,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(turns, tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited(table(spark, sf_dir, "documents"))
 
@@ -44,14 +51,32 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_mixing": op9_mixing, "op10_url_filter": op10_url_filter}
+    return {f.__name__: f for f in (op1_language_id, op3_chat_format, op4_simhash, op5_packing, op6_token_counts,
+                                    op7_topk_search, op9_mixing, op10_url_filter)}
 
 
+TOPK_SQL = """
+with v as (select distinct vec_id, list_transform(embedding, lambda c: floor(256 * c::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c::double))) = 0 and len(embedding) > 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
 URL_FILTER_SQL = """
 with rules(rhost, rpath, verdict) as (values
   ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
@@ -93,4 +118,4 @@ from k join c on k.source is not distinct from c.source
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": MIXING_SQL, "op10_url_filter": URL_FILTER_SQL}
+    return {"op7_topk_search": TOPK_SQL, "op9_mixing": MIXING_SQL, "op10_url_filter": URL_FILTER_SQL}
