@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import chat, counting, language, mixing, packing, simhash, topk, url_filter
+from fieldbook.llm import chat, counting, jaccard, language, mixing, packing, simhash, topk, url_filter
 
 #: Folder of the public tokenizers' files, None for the installed package of that name.
 TOKENIZERS: str | None = None
@@ -59,13 +59,17 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op3_chat_format, op4_simhash, op5_packing, op6_token_counts,
-                                    op7_topk_search, op9_mixing, op10_url_filter)}
+                                    op7_topk_search, op8_jaccard_join, op9_mixing, op10_url_filter)}
 
 
 TOPK_SQL = """
