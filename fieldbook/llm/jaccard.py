@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldbook.llm import textops
 from fieldbook.llm.components import components
-from fieldbook.llm.job import cut
+from fieldbook.llm.job import bitmap, cut, marked
 
 WIDTH = 5
 PERCENT = 80
@@ -127,28 +127,16 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n long, sum_a long, sum_b long, keys array<long>")
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits of the hashed ids; BITMAP / 8 bytes whatever their number."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)) + 1  # buckets and positions begin at 1
-    rows = (ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect())
-    out = np.zeros(BITMAP // 8 + 8192, dtype=np.uint8)
-    for r in rows:
-        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return out
-
-
 def _kept(docs: DataFrame, ids: DataFrame):
     """docs (doc_id, spot, text) and a function that keeps the rows of a batch whose id may be among `ids`."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids, ["doc_id"], BITMAP))
     spotted = docs.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("spot"), "text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spot = batch.column("spot").to_numpy()
-            there = (bits.value[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1
+            there = marked(bits.value, batch.column("spot").to_numpy())
             if there.any():
-                yield batch.filter(pa.array(there.astype(bool)))
+                yield batch.filter(pa.array(there))
 
     return spotted, keep
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -22,9 +23,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def plain(df: DataFrame, needed: list[str]) -> DataFrame:
-    """Only the columns an operator reads; extra columns cannot clash with its own."""
-    return df.select(*needed)
+def bitmap(ids: DataFrame, columns: list[str], bits: int) -> np.ndarray:
+    """Bits of the hashed ids: bits / 8 bytes whatever their number, so it may be broadcast."""
+    spot = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1  # buckets and positions begin at 1
+    rows = (ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect())
+    out = np.zeros(bits // 8 + 8192, dtype=np.uint8)
+    for r in rows:
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return ((bits[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def before(df: DataFrame, group: list[str], order: list[str], value: str, name: str, chunk: Column) -> DataFrame:
