@@ -9,6 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 
+#: Folder of the public tokenizers' files; None for the installed package of that name.
+TOKENIZERS: str | None = None
+
+
+def tokenizer_file(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see; a temporary one only where the cluster names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -65,7 +65,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
 
 
 def mix(docs: DataFrame, seed: int = SEED, most: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every row of docs (doc_id, source, text)."""
+    """doc_id, source, size, source_size, target, taken and copies of every row of docs (doc_id, source, text)."""
     docs = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     docs = docs.withColumn("_class", F.length(F.bin("size"))).withColumn("_slice", F.pmod("doc_id", F.lit(SLICES)))
     plan = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), most=most)
@@ -96,4 +96,19 @@ def mix(docs: DataFrame, seed: int = SEED, most: int = 3) -> DataFrame:
                                  for i, u in enumerate(draws)]))["u"]
     chosen = groups.join(sums.select(F.col("source").alias("_cs"), best.alias("_offset")), F.col("_gs").eqNullSafe(F.col("_cs")))
     return ranked(chosen).withColumn("copies", copies(F.col("_offset"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def replicate(docs: DataFrame, seed: int = SEED, most: int = 3) -> DataFrame:
+    """The mix itself: every row of docs as often as it is emitted (rows alike in id, source and size take turns)."""
+    names = docs.columns
+    alike = ["doc_id", "source", "_size"]
+    rows = docs.withColumn("_size", word_count(F.col("text")))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64("text"))))
+    plan = mix(docs, seed, most).withColumnRenamed("size", "_size")
+    plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy(*alike).orderBy("copies")))
+    plan = plan.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate((*alike, "_nth"))], F.col("copies").alias("_copies")).where("_copies > 0")
+    match = F.lit(True)
+    for i, c in enumerate((*alike, "_nth")):
+        match = match & F.col(c).eqNullSafe(F.col(f"_p{i}"))
+    return rows.join(plan, match).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*names)

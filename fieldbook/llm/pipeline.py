@@ -1,5 +1,50 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir); all but the last return the columns of documents."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
+
+from fieldbook.llm import jaccard, language, lines, mixing, packing
+from fieldbook.llm.job import tokenizer_file
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text of at least LONG characters is rejected if it is less like its language than LEAST.
+LONG, LEAST = 200, 0.25
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and longer texts like no language; `lang` becomes the language found."""
+    docs = docs.select(*COLUMNS)
+    found = language.identify(docs, language.train(docs), COLUMNS)
+    odd = (F.col("lang_pred") == language.UNKNOWN) | ((F.length("text") >= LONG) & (F.col("score") < LEAST))
+    return found.where(~odd).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated and nearly repeated lines; a document of which nothing else was left goes with them."""
+    left = lines.dedup_lines(docs.select(*COLUMNS)).where("n_removed = 0 or trim(text) <> ''")
+    return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near duplicates."""
+    docs = docs.select(*COLUMNS)
+    kept = jaccard.similar(docs).where("component_id = doc_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*COLUMNS)
+    return rows.union(docs.where("doc_id is null"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and leaves out documents so that sources come near their target weights."""
+    return mixing.replicate(docs.select(*COLUMNS))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into training sequences; one row per piece."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
+          ("source_mixing", source_mixing), ("sequence_packing", sequence_packing)]

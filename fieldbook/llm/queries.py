@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldbook.llm import chat, counting, jaccard, language, lines, mixing, packing, simhash, topk, url_filter
-
-#: Folder of the public tokenizers' files, None for the installed package of that name.
-TOKENIZERS: str | None = None
+from fieldbook.llm.job import tokenizer_file
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -19,26 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
-
-
-def tokenizer_file(name: str) -> str:
-    if TOKENIZERS:
-        return f"{TOKENIZERS}/{name}"
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"),
+                                          F.sha2("text", 256).alias("text_sha256"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +38,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -113,16 +104,16 @@ l as (select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over p
 free as (select arg_min(level, 3 * source_size / w) as level from l where level * w <= 3 * source_size),
 t as (select source, source_size, least((3 * source_size)::double, free.level * w) as target from l, free),
 r as (select *, case when source_size > 0 then least(floor(target / source_size * {mixing.UNIT})::bigint, 3 * {mixing.UNIT}) else 0 end as rate from t),
-k as (select d.*, source_size, target, rate, (row_number() over (partition by d.source
+k as (select d.doc_id, d.source, d.size, source_size, target, rate, (row_number() over (partition by d.source
     order by length(bin(size)), doc_id % {mixing.SLICES} nulls first, size, doc_id) * rate)::bigint as ending
   from d join r on d.source is not distinct from r.source),
 u as (select i, u from (select unnest({list(range(len(_DRAWS)))}) as i, unnest({_DRAWS}) as u)),
 e as (select source, i, u, abs(sum((((ending + u) >> {mixing.BITS}) - ((ending + u - rate) >> {mixing.BITS})) * size) - max(target)) as off
   from k, u group by source, i, u),
 c as (select source, arg_min(u, (off, i)) as u from e group by source)
-select doc_id, size, source_size, target, ((ending + u) >> {mixing.BITS}) - ((ending + u - rate) >> {mixing.BITS}) as copies,
+select doc_id, source, size, source_size, target, ((ending + u) >> {mixing.BITS}) - ((ending + u - rate) >> {mixing.BITS}) as copies,
   (((ending + u) >> {mixing.BITS}) - ((ending + u - rate) >> {mixing.BITS})) * size as taken
-from k join c on k.source is not distinct from c.source
+from k join (select source as chosen, u from c) on k.source is not distinct from chosen
 """
 
 
