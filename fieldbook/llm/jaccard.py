@@ -3,12 +3,12 @@
 A document is the set of its distinct five-word shingles, as 64-bit hashes.
 
 1. Equal sets are one class, represented by the smallest doc_id; only representatives go on.
-2. Similar documents are partitioned into groups: documents with an equal minimum hash are compared with the first of
-   them, and the connected ones are a group; all others are groups of one.
+2. Similar documents are partitioned into groups: documents with an equal key of minimum hashes are compared with the
+   first of them, and the connected ones are a group; all others are groups of one.
 3. The token-group matrix has an entry for each token that is among the first tokens of a member of a group.  A set's
    first tokens, in an order common to all, are as many as it can lack at 80 % and one more, so a linked pair has one in
-   common.  A document is a query to the groups (other than its own, each pair of groups once) that its first tokens hit
-   and whose members' sizes are near enough.
+   common.  A document is a query to the groups (other than its own, each pair of groups once) whose members' sizes are
+   near enough and that its first tokens hit so often that, if all later tokens were common, 80 % could be reached.
 4. A qualifying group is stored as blocks of members with the union of their tokens.  The union's overlap with the query
    bounds the overlap with any member; only where it reaches 80 % of the query is the block opened, and each member
    compared exactly.
@@ -38,10 +38,11 @@ from fieldbook.llm.job import bitmap, cut, marked
 
 WIDTH = 5
 PERCENT = 80
-KEYS = 4
+#: Keys by which documents may be grouped, each of several minimum hashes.
+KEYS, HASHES = 4, 3
 BLOCK = 1024
 #: The share of documents looked at for frequent shingles, how often there makes one frequent, and how many are kept.
-SAMPLE, OFTEN, MOST = 0.02, 4, 100_000
+SAMPLE, OFTEN, MOST = 0.05, 3, 100_000
 #: Bits of the bitmap of doc_ids.
 BITMAP = 1 << 23
 
@@ -103,7 +104,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), two hashes of the set, and its KEYS minimum hashes."""
+    """doc_id, n (distinct shingles), two hashes of the set, and KEYS hashes of its minimum hashes."""
     none = np.zeros(0, dtype=np.uint64)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +118,9 @@ def features(docs: DataFrame) -> DataFrame:
                     marks[0][full] = np.add.reduceat(textops.mix(tokens), starts)
                     marks[1][full] = np.add.reduceat(textops.mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), starts)
                 for k in range(KEYS):
-                    seed = textops.mix(np.array([k + 77], dtype=np.uint64))[0]
-                    marks[2 + k][full] = np.minimum.reduceat(textops.mix(tokens ^ seed), starts)
+                    for h in range(HASHES):
+                        seed = textops.mix(np.array([k * HASHES + h + 77], dtype=np.uint64))[0]
+                        marks[2 + k][full] = textops.mix(marks[2 + k][full] + np.minimum.reduceat(textops.mix(tokens ^ seed), starts))
             keys = np.stack(marks[2:], axis=1).ravel()
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)),
@@ -223,10 +225,11 @@ def _each(n: Column) -> Column:
 
 def stars(marks: DataFrame) -> DataFrame:
     """Cells of documents with an equal minimum hash and the first of them; queries in blocks of about BLOCK."""
-    slots = marks.select("doc_id", F.posexplode("keys").alias("k", "key"))
-    heads = slots.groupBy("k", "key").agg(F.min("doc_id").alias("cell"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    asked = slots.join(heads, ["k", "key"]).where("doc_id <> cell").select("doc_id", "cell").distinct()
-    # a pair of heads may ask each other by different keys only in one direction: the head is the smaller
+    slots = marks.select("doc_id", "n", F.posexplode("keys").alias("k", "key"))
+    heads = (slots.groupBy("k", "key").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+             .select("k", "key", F.col("head.doc_id").alias("cell"), F.col("head.n").alias("m")))
+    near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT)
+    asked = slots.join(heads, ["k", "key"]).where((F.col("doc_id") != F.col("cell")) & near).select("doc_id", "cell").distinct()
     blocks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     queries = (asked.join(blocks, "cell").select("doc_id", "cell", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), F.lit(1).alias("asks")))
     return queries.unionByName(blocks.select(F.col("cell").alias("doc_id"), "cell", _each(F.col("blocks")).alias("block"), F.lit(0).alias("asks")))
@@ -241,7 +244,13 @@ def matrix_cells(first: DataFrame, groups: DataFrame) -> DataFrame:
     labelled = cut(entries.join(groups, "doc_id", "left").withColumn("home", F.coalesce("grp", "doc_id")).select("token", "doc_id", "n", "home"))
     matrix = labelled.groupBy("token", F.col("home").alias("cell")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     near = (F.col("low") * PERCENT <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * PERCENT)
-    asked = cut(labelled.join(matrix, "token").where((F.col("home") > F.col("cell")) & near).select("doc_id", "cell").distinct())
+    hits = (labelled.join(matrix, "token").where((F.col("home") > F.col("cell")) & near).groupBy("doc_id", "n", "cell")
+            .agg(F.count(F.lit(1)).alias("hits"), F.min("low").alias("low"), F.max("high").alias("high")))
+    # all of a pair's first tokens up to the end of one side are known, so its overlap is at most the hits and the rest
+    # of that side; n + m shingles with 80 % in common overlap by 80 / 180 of n + m at least
+    rest = F.ceil(F.greatest("n", F.least("high", F.floor(F.col("n") * 100 / PERCENT))) * PERCENT / 100) - 1
+    least = (F.col("n") + F.greatest("low", F.ceil(F.col("n") * PERCENT / 100))) * PERCENT / (100 + PERCENT)
+    asked = cut(hits.where(F.col("hits") + rest >= least - 1e-6).select("doc_id", "cell"))
     wanted = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("long").alias("sides"))
     sizes = groups.groupBy(F.col("grp").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     wanted = wanted.join(sizes, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
@@ -263,7 +272,7 @@ def similar(docs: DataFrame) -> DataFrame:
     near = cut(compare(docs, stars(classes)))
     groups = cut(components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("grp")))
     first = first_tokens(docs, classes, frequent_tokens(docs))
-    first = first.join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = cut(first.join(classes.select("doc_id").distinct(), "doc_id", "left_semi"))
     links = near.union(compare(docs, matrix_cells(first, groups)))
     # rows of one doc_id with different texts: their classes are linked through that id
     same = kept.join(classes.select("n", "sum_a", "sum_b", F.col("doc_id").alias("rep")), ["n", "sum_a", "sum_b"]).select("doc_id", "rep").distinct()
