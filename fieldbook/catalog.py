@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldbook.plans import encoding, facets, links, outreach, search, text, workflow  # noqa: F401  each registers its queries
+from fieldbook.plans.registry import QUERIES, SQL, Query
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["search_ranked"](spark, sf_dir)
+    return QUERIES["search_ranked"](spark, sf_dir)
