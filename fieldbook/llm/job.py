@@ -54,7 +54,7 @@ def before(df: DataFrame, group: list[str], order: list[str], value: str, name:
     """Adds `name`: the sum of `value` over the rows of the same group that come earlier by (chunk, order).
 
     Two levels: sums per (group, chunk) are scanned per group, rows per (group, chunk), so that a hot group is
-    spread over its chunks and no task holds all its rows.
+    spread over its chunks and no task holds all its rows.  The columns of `group` and `chunk` are not null.
     """
     df = df.withColumn("_chunk", chunk)
     sums = df.groupBy(*group, "_chunk").agg(F.sum(value).alias("_n"))
@@ -63,7 +63,8 @@ def before(df: DataFrame, group: list[str], order: list[str], value: str, name:
                        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
     inner = Window.partitionBy(*group, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    match = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_chunk") == F.col("_c")]
+    # plain equality keeps the window's partitioning, so the rows are shuffled once
+    match = [F.col(g) == F.col(f"_g{i}") for i, g in enumerate(group)] + [F.col("_chunk") == F.col("_c")]
     condition = match[0]
     for m in match[1:]:
         condition = condition & m
