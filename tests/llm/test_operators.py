@@ -96,6 +96,28 @@ def test_line_dedup(spark, empty):
     assert lines.dedup_lines(empty.select("doc_id", "text")).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Exact repeats go whatever their length; blank lines stay, and one edit counts only where the longer line has NEAR_CHARS."""
+    near_pool = ["y" * (lines.NEAR_CHARS - 1), "y" * (lines.NEAR_CHARS - 2) + "z", "y" * lines.NEAR_CHARS] + ["line %03d of one length" % k for k in range(80)]
+    assert len(near_pool[-1]) == lines.NEAR_CHARS - 2
+    edge = ["edge line number %03d off" % k for k in range(70)]
+    edge += [x[:-1] for x in edge]
+    assert {len(x) for x in edge} == {lines.NEAR_CHARS, lines.NEAR_CHARS - 1}
+    rnd = random.Random(5)
+    pool = ["All rights reserved.", "a", "b", "é", "", " ", "\t \u3000", *near_pool, *edge]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(8))) for i in range(60)]
+    first, kept = {}, {}
+    for i, t in rows:
+        for p, line in enumerate(t.split("\n")):
+            if line.strip():
+                first.setdefault(line, (i, p))
+    gone = {a for a in first for b in first if first[b] < first[a] and max(len(a), len(b)) >= lines.NEAR_CHARS and near(a, b)}
+    for i, t in rows:
+        kept[i] = "\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip() or (x not in gone and first[x] == (i, p)))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == kept and "".join(kept.values()).count("All rights reserved.") == 1
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_banded_edit_distance(seed):
     rnd = random.Random(seed)
