@@ -68,13 +68,23 @@ def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {PROBED} select status, count(*) as n, string_agg(page_id || chr(9) || url || chr(9) || coalesce(reason, ''), chr(10) order by page_id) filter (page_id < 0) as tsv from report where status <> 'live' group by status")
 def url_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of flagged links, and those of the sample as tab-separated lines."""
+    """Numbers of flagged links, and those of the sample as tab-separated lines; url_flagged_lines has the lines of all."""
     line = F.concat_ws("\t", F.col("page_id").cast("string"), "url", F.coalesce("reason", F.lit("")))
     lines = F.sort_array(F.collect_list(F.when(F.col("page_id") < 0, F.struct("page_id", line.alias("line")))))  # at most the sample's rows
     return (report(spark, sf_dir).where("status <> 'live'").groupBy("status")
             .agg(F.count(F.lit(1)).alias("n"), F.nullif(F.array_join(F.transform(lines, lambda r: r["line"]), "\n"), F.lit("")).alias("tsv")))
 
 
+@query(f"""with {PROBED} select page_id, 0 as live, page_id::varchar as name, status || chr(9) || page_id || chr(9) || coalesce(url, '') ||
+  case when reason is not null then chr(9) || reason else '' end as line from report where status <> 'live'""")
+def url_flagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every flagged link as a tab-separated line, one row each; a page's id is its name.  In order by (live, name): flagged first."""
+    reason = F.when(F.col("reason").isNotNull(), F.concat(F.lit("\t"), "reason")).otherwise("")
+    name = F.col("page_id").cast("string")
+    line = F.concat("status", F.lit("\t"), name, F.lit("\t"), F.coalesce("url", F.lit("")), reason)
+    return report(spark, sf_dir).where("status <> 'live'").select("page_id", F.lit(0).alias("live"), name.alias("name"), line.alias("line"))
+
+
 @query(f"with {PROBED} select count(*) as total, count(*) filter (status = 'live') as live, {fill(SHARE, chr(99) + 'ount(*) filter (status = ' + repr('live') + ')', 'count(*)')} as percent from report")
 def link_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = report(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "live").alias("live"))
