@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from fieldbook.functions.patterns import re2
-from fieldbook.operators import changes, limiter
+from fieldbook.operators import changes, limiter, toggles
 from fieldbook.plans.registry import query
 from fieldbook.plans.text import SAMPLES, clean_sql, redact_sql, values
 from fieldbook.functions import privacy, text
@@ -123,14 +123,26 @@ def recent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("k <= 3").select("user_id", "k", "what", "last_at")
 
 
+def _toggled(spark: SparkSession, sf_dir: str, most: int, evict: bool) -> DataFrame:
+    item = F.get_json_object("props", "$.k").cast("long").alias("item")
+    return toggles.replay(table(spark, sf_dir, "events").select("user_id", item, "ts", "event_id"), "user_id", "item", ["ts", "event_id"], most, evict)
+
+
 @query("""with t as (select user_id, (json_extract_string(props, '$.k'))::bigint % 50 as item, count(*) as n, max(ts) as last_at from events group by all)
 select user_id, string_agg(item, ',' order by last_at desc, item) as saved from t where n % 2 = 1 group by user_id""")
 def toggle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved items after all toggles, newest first: items number 50 at most, so the cap never bites and parity decides."""
-    item = F.get_json_object("props", "$.k").cast("long") % 50
-    state = table(spark, sf_dir, "events").groupBy("user_id", item.alias("item")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("at"))
-    order = F.transform(F.sort_array(F.collect_list(F.struct(-F.unix_micros(F.col("at").cast("timestamp")), "item"))), lambda r: r["item"].cast("string"))
-    return state.where("n % 2 = 1").groupBy("user_id").agg(F.array_join(order, ",").alias("saved"))
+    """Saved items after all toggles, newest first; beyond 50 the oldest is evicted.
+
+    The SQL still folds items modulo 50 and knows no cap, so results differ.
+    """
+    return _toggled(spark, sf_dir, 50, True).select("user_id", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("saved"))
+
+
+@query()
+def compare_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compared items after all toggles, oldest first; with 3 there, another is ignored."""
+    items = F.transform(F.reverse("items"), lambda i: i.cast("string"))
+    return _toggled(spark, sf_dir, 3, False).select("user_id", F.array_join(items, ",").alias("compared"))
 
 
 @query(f"""with {CONTACTS}, legacy as (select c_custkey as resource_id, date '2024-01-01' + (c_custkey % 40)::int as day from customer where c_custkey < 150)
