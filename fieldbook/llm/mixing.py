@@ -5,16 +5,21 @@ is shared among the others by weight.  With sources sorted by most * size / weig
 running sums over the (small) table of sources solve it without iteration.
 
 Copies: within a source every document has the same expected number of copies, target / size.  Documents are laid out
-by size (then by id), their expected copies are added up, one random offset is added, and a document is emitted once for
+by size, their expected copies are added up, one random offset per source is added, and a document is emitted once for
 each integer boundary that its stretch crosses.  Expected copies are kept in fixed point, so reruns and other engines
-agree to the last copy, and no document is emitted more than `most` times.  As whole documents are coarse units, the
-offset is the best of `OFFSETS` random draws: the one whose words come nearest the source's target.
+agree to the last copy, and no document is emitted more than `most` times.  As documents lie in order of size, what a
+source takes differs from its target by little more than its largest documents' sizes, whatever the offset.
 
-The running sum over a source is a rank, found in two levels (size class and slice, then row), so a source with a
-third of all rows is spread over many tasks.
+The order is by size class (the length of the size in bits and its next `DETAIL` bits, so a class spans 1/16 of an
+octave at most), then slice (of `SLICES`, by id), size and id.  The running sum over a source is therefore a rank, found
+in two levels, and each size class of a source is spread over up to `SLICES` tasks, so a source with a third of all rows
+is as well.
+
+One row per source goes through one task in `targets`: sources are a dimension, not data.
 
 Defined results: a null text has size 0; a source of size 0 has target 0 and takes nothing; null sources form one
-source, the last; repeated rows are documents of their own; an empty table gives an empty mix.
+source, the last; rows with a null doc_id come first among those of their size, and repeated rows are documents of their
+own; an empty table gives an empty mix; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,20 +30,21 @@ from pyspark.sql.window import Window
 from fieldbook.llm.job import cut
 
 WEIGHTS = (5, 2, 1)
-OFFSETS = 32
 BITS = 20
 UNIT = 1 << BITS
+DETAIL = 4
 SLICES = 64
-#: Random offsets in units of 1/UNIT, drawn once by a multiplicative generator from the seed.
 SEED = 20011
 
 
-def offsets(seed: int = SEED) -> list[int]:
-    out, x = [], seed
-    for _ in range(OFFSETS):
-        x = x * 48271 % 2147483647
-        out.append(x % UNIT)
-    return out
+def offset(source: Column, seed: int = SEED) -> Column:
+    """The random offset of a source, below UNIT, drawn from the digest of the seed and its name (null as empty)."""
+    return F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("")))), F.lit(BITS // 4)), 16, 10).cast("long")
+
+
+def size_class(size: Column) -> Column:
+    bits = F.length(F.bin(size))
+    return bits * (1 << DETAIL) + F.floor(size / F.pow(F.lit(2.0), bits - 1 - DETAIL)).cast("int") % (1 << DETAIL)
 
 
 def word_count(text: Column) -> Column:
@@ -46,10 +52,7 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """sizes (source, source_size; one row per source) with `target`, in words.
-
-    One row per source goes through one task here: sources are a dimension, not data.
-    """
+    """sizes (source, source_size; one row per source) with `target`, in words."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(w) for w in weights])
     s = sizes.withColumn("_w", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
@@ -67,35 +70,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
 def mix(docs: DataFrame, seed: int = SEED, most: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and copies of every row of docs (doc_id, source, text)."""
     docs = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    docs = docs.withColumn("_class", F.length(F.bin("size"))).withColumn("_slice", F.pmod("doc_id", F.lit(SLICES)))
+    docs = docs.withColumn("_class", size_class(F.col("size"))).withColumn("_slice", F.coalesce(F.pmod("doc_id", F.lit(SLICES)), F.lit(-1)))
     plan = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), most=most)
     rate = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") * UNIT), F.lit(most * UNIT).cast("long")))
-    plan = plan.select(F.col("source").alias("_gs"), "source_size", "target", F.coalesce(rate, F.lit(0).cast("long")).alias("_rate"))
+    plan = plan.select(F.col("source").alias("_gs"), "source_size", "target", F.coalesce(rate, F.lit(0).cast("long")).alias("_rate"), offset(F.col("source"), seed).alias("_offset"))
 
     # ranks within the source by (size class, slice, size, id): where each (class, slice) begins, then the place in it
-    ahead = Window.partitionBy("source").orderBy("_class", F.col("_slice").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("source").orderBy("_class", "_slice").rowsBetween(Window.unboundedPreceding, -1)
     groups = (docs.groupBy("source", "_class", "_slice").agg(F.count(F.lit(1)).alias("_n"))
               .withColumn("_base", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
               .join(plan, F.col("source").eqNullSafe(F.col("_gs")))
-              .select("_gs", F.col("_class").alias("_gc"), F.col("_slice").alias("_gk"), "_base", "source_size", "target", "_rate"))
-    groups = cut(groups)
+              .select("_gs", F.col("_class").alias("_gc"), F.col("_slice").alias("_gk"), "_base", "source_size", "target", "_rate", "_offset"))
     inner = Window.partitionBy("source", "_class", "_slice").orderBy("size", "doc_id")
-    placed = docs.withColumn("_in", F.row_number().over(inner))
-
-    def ranked(groups: DataFrame) -> DataFrame:
-        same = (F.col("source").eqNullSafe(F.col("_gs")) & (F.col("_class") == F.col("_gc")) & F.col("_slice").eqNullSafe(F.col("_gk")))
-        return placed.join(groups, same).withColumn("_end", (F.col("_base") + F.col("_in")) * F.col("_rate"))
-
-    def copies(offset) -> Column:
-        return F.shiftright(F.col("_end") + offset, BITS) - F.shiftright(F.col("_end") + offset - F.col("_rate"), BITS)
-
-    draws = [F.lit(u).cast("long") for u in offsets(seed)]
-    sums = ranked(groups).groupBy("source").agg(F.max("target").alias("_t"), *[
-        F.sum(copies(u) * F.col("size")).alias(f"_s{i}") for i, u in enumerate(draws)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_s{i}") - F.col("_t")).alias("off"), F.lit(i).alias("i"), u.alias("u"))
-                                 for i, u in enumerate(draws)]))["u"]
-    chosen = groups.join(sums.select(F.col("source").alias("_cs"), best.alias("_offset")), F.col("_gs").eqNullSafe(F.col("_cs")))
-    return ranked(chosen).withColumn("copies", copies(F.col("_offset"))).select(
+    same = F.col("source").eqNullSafe(F.col("_gs")) & (F.col("_class") == F.col("_gc")) & (F.col("_slice") == F.col("_gk"))
+    end = (F.col("_base") + F.col("_in")) * F.col("_rate") + F.col("_offset")
+    placed = docs.withColumn("_in", F.row_number().over(inner)).join(groups, same).withColumn("_end", end)
+    copies = F.shiftright("_end", BITS) - F.shiftright(F.col("_end") - F.col("_rate"), BITS)
+    return placed.withColumn("copies", copies).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 

@@ -92,7 +92,6 @@ from parts left join (select * from fits where k = 1) using (n)
 """
 
 
-_DRAWS = mixing.offsets()
 MIXING_SQL = f"""
 with d as (select doc_id, source, row_number() over () as n,
   coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
@@ -103,17 +102,15 @@ l as (select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over p
   from w window p as (order by source_size * 3 / w, source nulls last rows between unbounded preceding and 1 preceding)),
 free as (select arg_min(level, 3 * source_size / w) as level from l where level * w <= 3 * source_size),
 t as (select source, source_size, least((3 * source_size)::double, free.level * w) as target from l, free),
-r as (select *, case when source_size > 0 then least(floor(target / source_size * {mixing.UNIT})::bigint, 3 * {mixing.UNIT}) else 0 end as rate from t),
+r as (select *, case when source_size > 0 then least(floor(target / source_size * {mixing.UNIT})::bigint, 3 * {mixing.UNIT}) else 0 end as rate,
+  ('0x' || left(md5('{mixing.SEED}:' || coalesce(source, '')), {mixing.BITS // 4}))::bigint as u from t),
 k as (select d.doc_id, d.source, d.size, source_size, target, rate, (row_number() over (partition by d.source
-    order by length(bin(size)), doc_id % {mixing.SLICES} nulls first, size, doc_id) * rate)::bigint as ending
-  from d join r on d.source is not distinct from r.source),
-u as (select i, u from (select unnest({list(range(len(_DRAWS)))}) as i, unnest({_DRAWS}) as u)),
-e as (select source, i, u, abs(sum((((ending + u) >> {mixing.BITS}) - ((ending + u - rate) >> {mixing.BITS})) * size) - max(target)) as off
-  from k, u group by source, i, u),
-c as (select source, arg_min(u, (off, i)) as u from e group by source)
-select doc_id, source, size, source_size, target, ((ending + u) >> {mixing.BITS}) - ((ending + u - rate) >> {mixing.BITS}) as copies,
-  (((ending + u) >> {mixing.BITS}) - ((ending + u - rate) >> {mixing.BITS})) * size as taken
-from k join (select source as chosen, u from c) on k.source is not distinct from chosen
+    order by length(bin(size)), floor(size / pow(2, length(bin(size)) - 1 - {mixing.DETAIL}))::bigint % {1 << mixing.DETAIL},
+    coalesce(doc_id % {mixing.SLICES}, -1), size, doc_id) * rate)::bigint + u as ending
+  from d join r on d.source is not distinct from r.source)
+select doc_id, source, size, source_size, target, (ending >> {mixing.BITS}) - ((ending - rate) >> {mixing.BITS}) as copies,
+  ((ending >> {mixing.BITS}) - ((ending - rate) >> {mixing.BITS})) * size as taken
+from k
 """
 
 
