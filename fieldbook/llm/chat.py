@@ -13,7 +13,7 @@ Turns are shuffled encoded and sorted by (conversation, turn) within partitions;
 back as a stream of blocks, so a very long one needs no more memory than a block.  Its digests are sequential by
 nature, so one conversation is one task's work.
 
-Defined results: null texts and roles are empty; turns with the same number are ordered by role, then text; repeated
+Defined results: null texts and roles are empty; turns with the same number are ordered by role, then by their texts' ids; repeated
 rows are turns of their own; rows with a null conv_id are one conversation; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fieldbook.llm.job import in_batches
+
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]"]
 RESERVED = 50257
 BOS, EOS, USER, USER_END, ROLE, ROLE_END = range(RESERVED, RESERVED + len(CONTROLS))
@@ -75,8 +77,8 @@ def encode(turns: DataFrame, path: str) -> DataFrame:
                  pa.array([known[r] for r in roles], type=pa.binary()), pa.array(texts, type=pa.binary())],
                 names=["conv_id", "turn", "role", "role_ids", "text_ids"])
 
-    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(
-        task, "conv_id long, turn long, role string, role_ids binary, text_ids binary")
+    return in_batches(
+        turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"), task, "conv_id long, turn long, role string, role_ids binary, text_ids binary")
 
 
 def assemble(turns: list[tuple[str, bytes, bytes]], begins: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +168,7 @@ def format_conversations(turns: DataFrame, path: str) -> DataFrame:
                 [pa.array([conv], type=pa.int64()), pa.array([n], type=pa.int64()), pa.array([ids.astype(np.int64)], type=pa.list_(pa.int64())),
                  pa.array([mask], type=pa.list_(pa.bool_()))], names=["conv_id", "block", "ids", "loss"])
 
-    return _in_order(turns, path).mapInArrow(task, "conv_id long, block long, ids array<long>, loss array<boolean>")
+    return in_batches(_in_order(turns, path), task, "conv_id long, block long, ids array<long>, loss array<boolean>")
 
 
 def digests(turns: DataFrame, path: str) -> DataFrame:
@@ -203,5 +205,5 @@ def digests(turns: DataFrame, path: str) -> DataFrame:
         if done:
             yield flush()
 
-    return _in_order(turns, path).mapInArrow(task, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
-                                                   "loss_sha256 string, formatted_chars long")
+    return in_batches(_in_order(turns, path), task, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
+                                                    "loss_sha256 string, formatted_chars long")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldbook.llm import textops
 from fieldbook.llm.components import components
-from fieldbook.llm.job import bitmap, cut, marked
+from fieldbook.llm.job import bitmap, cut, in_batches, marked
 
 WIDTH = 5
 PERCENT = 80
@@ -98,7 +98,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["token"])
 
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(SAMPLE * 1_000_000)).select("text")
-    counted = few.mapInArrow(task, "token long").groupBy("token").count().where(F.col("count") >= OFTEN)
+    counted = in_batches(few, task, "token long").groupBy("token").count().where(F.col("count") >= OFTEN)
     rows = counted.orderBy(F.col("count").desc(), "token").limit(MOST).select("token").collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
@@ -126,7 +126,7 @@ def features(docs: DataFrame) -> DataFrame:
                 [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)),
                  _longs(keys, np.full(len(counts), KEYS))], names=["doc_id", "n", "sum_a", "sum_b", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n long, sum_a long, sum_b long, keys array<long>")
+    return in_batches(docs.select("doc_id", "text"), task, "doc_id long, n long, sum_a long, sum_b long, keys array<long>")
 
 
 def _kept(docs: DataFrame, ids: DataFrame):
@@ -153,7 +153,7 @@ def token_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             full = pa.array(counts > 0)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), _binary(tokens, counts)], names=["doc_id", "tokens"]).filter(full)
 
-    return spotted.mapInArrow(task, "doc_id long, tokens binary")
+    return in_batches(spotted, task, "doc_id long, tokens binary")
 
 
 def first_tokens(docs: DataFrame, ids: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -170,7 +170,7 @@ def first_tokens(docs: DataFrame, ids: DataFrame, frequent: np.ndarray) -> DataF
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), _longs(tokens[at], some)],
                                              names=["doc_id", "n", "first"])
 
-    return spotted.mapInArrow(task, "doc_id long, n long, first array<long>")
+    return in_batches(spotted, task, "doc_id long, n long, first array<long>")
 
 
 def _open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +215,8 @@ def compare(docs: DataFrame, cells: DataFrame) -> DataFrame:
     """Links between the members (asks = 0) and the queries (asks = 1) of each (cell, block); cells has doc_id."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cells.join(token_sets(docs, cells.select("doc_id")), "doc_id")
-    return (rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "asks")
-            .select("cell", "block", "asks", "doc_id", "tokens").mapInArrow(_open_blocks, "a long, b long"))
+    in_order = rows.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "asks")
+    return in_batches(in_order.select("cell", "block", "asks", "doc_id", "tokens"), _open_blocks, "a long, b long")
 
 
 def _each(n: Column) -> Column:

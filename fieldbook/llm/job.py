@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,10 +22,28 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Bytes of an Arrow batch handed to a Python worker; Spark's own default of 64 MB is a worker's whole memory here.
+BATCH_BYTES = 8_000_000
+
+
+def in_batches(df: DataFrame, task: Callable, schema) -> DataFrame:
+    """df.mapInArrow(task, schema), with batches bounded in bytes as well as rows (a smaller setting of the session holds)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(task, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see; a temporary one only where the cluster names none, as in tests."""
+    """Folder all executors see, named by the cluster; only where everything runs in one process may it be a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"file://{tempfile.gettempdir()}/fieldbook-checkpoints"
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/fieldbook-checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _STEP = U64(0xD1342543DE82EF95)
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,6 +22,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+class Known:
+    """A bounded map from 64-bit hashes to numbers, as sorted arrays: 16 bytes an entry, whatever it has seen.
+
+    The first `most` hashes are kept (frequent ones come early); from then on it does not change.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.keys, self.values = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the keys, -1 for those not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> int:
+        """Adds new, distinct, sorted keys as far as there is room; returns how many."""
+        n = max(0, min(len(keys), self.most - len(self.keys)))
+        if n:
+            at = np.searchsorted(self.keys, keys[:n])
+            self.keys, self.values = np.insert(self.keys, at, keys[:n]), np.insert(self.values, at, values[:n])
+        return n
+
+
 def _table(fold_case: bool) -> np.ndarray:
     with np.errstate(over="ignore"):
         t = mix(np.arange(1, 257, dtype=U64) * _BASE)
