@@ -5,12 +5,19 @@ term's 128-bit hash votes for the sign of each bit; the fingerprint is 32 hex di
 a time in the lanes of 64-bit integers, so a slice of a partition is a few passes over arrays.
 
 `edited` also fingerprints each text with its tail replaced by the head of the next document, in descending doc_id.
-Documents are dealt to ranges of doc_id between quantiles; each range gets one more row, the first document of the range
-that follows, and is read in order as a stream, so no task sees more than its range and memory is one slice.
+Rows are partitioned by ranges of doc_id and read in order as a stream, so no task sees more than its range and memory
+is one slice.  The last row of a range needs the first of the range that follows: each task gives these two rows out as
+they are, and the few pairs, one per range, are put together afterwards.
+
+`within` finds pairs of fingerprints in permuted block tables: with radius + t blocks, t at least are equal in any such
+pair, so each fingerprint is filed under every choice of t blocks.  A key shared by more than `SMALL` fingerprints is not
+paired off by a join: they are dealt to tiles of at most two times `TILE`, which are spread over tasks, and of a tile only
+the pairs within the radius come out.
 
 Defined results: a null text is empty; an empty text has the fingerprint of all zeros; equal texts have equal
-fingerprints; a single document is its own next; rows with the same doc_id are ordered by text; an empty table gives an
-empty result; other columns are ignored.
+fingerprints; a single document is its own next; rows with the same doc_id are ordered by a hash of the text, a null
+doc_id comes last; repeated rows are each other's next; very long texts are read whole; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +28,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from fieldbook.llm import textops
+from fieldbook.llm.job import cut, in_batches
 
 BITS = 128
 WIDTH = 3
-RANGES = 4
+#: Fingerprints of one key that are paired off by a join, and fingerprints on a side of a tile.
+SMALL, TILE = 64, 1024
 
 # a byte's bits as eight one-byte counters
 _LANES = np.packbits(np.zeros((256, 64), dtype=np.uint8), axis=1).view(np.uint64).ravel()
@@ -72,86 +82,106 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                 marks = [x.tobytes().hex() for x in fingerprints(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(marks, type=pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, fingerprint string")
+    return in_batches(docs.select("doc_id", "text"), task, "doc_id long, fingerprint string")
 
 
 OUT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
        "near_edited double, near_next double")
 
 
+NAMES = [c.split()[0] for c in OUT.split(", ")]
+
+
+def _compared(ids: list, texts: list[str]) -> pa.RecordBatch:
+    """The result for all rows but the last, which is only the next of the one before."""
+    marks = fingerprints(pa.array(texts, type=pa.string()))
+    edited = [t[: len(t) - len(t) // 3] + after[: len(t) // 3] for t, after in zip(texts, texts[1:])]
+    changed = fingerprints(pa.array(edited, type=pa.string()))
+    return pa.RecordBatch.from_arrays([
+        pa.array(ids[:-1], type=pa.int64()), pa.array([len(t) for t in texts[:-1]], type=pa.int64()),
+        pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], type=pa.string()),
+        pa.array([m.tobytes().hex() for m in marks[:-1]], type=pa.string()), pa.array([x.tobytes().hex() for x in changed], type=pa.string()),
+        pa.array(likeness(marks[:-1], changed)), pa.array(likeness(marks[:-1], marks[1:]))], names=NAMES)
+
+
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc_id, text, ahead) in order; a row with `ahead` ends a range and is only looked at."""
-    carry: pa.Table | None = None
+    """Rows of a range in order; its first and its last row come as they are, with `edge` 0 and 1."""
+
+    def row(edge: int, doc_id, tie: int, text: str) -> pa.RecordBatch:
+        values = [doc_id, *[None] * (len(NAMES) - 1), edge, tie, text]
+        return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(values, kinds)], names=[*NAMES, "edge", "tie", "text"])
+
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.int32(), pa.int64(), pa.string()]
+    last: tuple | None = None
     for batch in batches:
         for part in textops.slices(batch, "text"):
-            rows = pa.Table.from_batches([part]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([part])])
-            carry = rows.slice(rows.num_rows - 1)
-            marks = fingerprints(rows.column("text").combine_chunks())
-            texts = [t or "" for t in rows.column("text").to_pylist()]
-            own = np.flatnonzero(~np.array(rows.column("ahead").to_pylist()[:-1], dtype=bool))
-            if not len(own):
-                continue
-            edited = []
-            for i in own.tolist():
-                text, k = texts[i], len(texts[i]) // 3
-                edited.append(text[: len(text) - k] + texts[i + 1][:k])
-            changed = fingerprints(pa.array(edited, type=pa.string()))
-            yield pa.RecordBatch.from_arrays([
-                rows.column("doc_id").combine_chunks().take(pa.array(own)),
-                pa.array([len(texts[i]) for i in own.tolist()], type=pa.int64()),
-                pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
-                pa.array([marks[i].tobytes().hex() for i in own.tolist()]),
-                pa.array([x.tobytes().hex() for x in changed]),
-                pa.array(likeness(marks[own], changed)), pa.array(likeness(marks[own], marks[own + 1]))],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            ids, ties, texts = (part.column(c).to_pylist() for c in ("doc_id", "tie", "text"))
+            if last is None:
+                yield row(0, ids[0], ties[0], texts[0])
+            else:
+                ids, texts = [last[0], *ids], [last[2], *texts]
+            last = ids[-1], ties[-1], texts[-1]
+            if len(ids) > 1:
+                done = _compared(ids, texts)
+                yield pa.RecordBatch.from_arrays([*done.columns, *[pa.nulls(done.num_rows, t) for t in kinds[-3:]]], names=[*NAMES, "edge", "tie", "text"])
+    if last is not None:
+        yield row(1, *last)
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness (see OUT for the columns)."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = RANGES * parts
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).head()[0] or []
-    cuts = sorted(set(cuts))
-
-    def range_of(doc_id: Column) -> Column:
-        """Ranges in the order of reading: descending doc_id, nulls last."""
-        if not cuts:
-            return F.coalesce(F.when(doc_id.isNotNull(), F.lit(0)), F.lit(1))
-        ends = F.array(*[F.lit(c) for c in cuts])
-        return F.coalesce(F.lit(len(cuts)) - F.size(F.filter(ends, lambda c: c < doc_id)), F.lit(len(cuts) + 1))
-
-    # the first row of each range; as many as there are ranges
-    heads = (docs.select("doc_id").distinct().groupBy(range_of(F.col("doc_id")).alias("range")).agg(F.max("doc_id").alias("doc_id")).collect())
-    order = sorted((r["range"], r["doc_id"]) for r in heads) if heads else []
-    ids = [i for _, i in order if i is not None]
-    first = docs.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull() if order and order[-1][1] is None else F.col("doc_id").isin(ids))
-    before = {order[(k + 1) % len(order)][0]: r for k, (r, _) in enumerate(order)}
-    ahead = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
-    first = (first.withColumn("range", range_of(F.col("doc_id"))).groupBy("range", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-             .select("doc_id", "text", F.element_at(ahead, F.col("range")).alias("range"), F.lit(True).alias("ahead")))
-    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("range", range_of(F.col("doc_id"))).withColumn("ahead", F.lit(False)).unionByName(first)
-    return (rows.repartition(parts, "range")
-            .sortWithinPartitions("range", "ahead", F.col("doc_id").desc_nulls_last(), "text")
-            .select("doc_id", "text", "ahead").mapInArrow(_stream, OUT))
-
-
-def within(marks: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b, distance) of different fingerprints within `radius` bits, a < b, each once.
-
-    Permuted block tables: with radius + 2 blocks at least two are equal in any such pair, so each fingerprint is filed
-    under every pair of its blocks.  Equal fingerprints are one entry, so copies do not multiply.
+    docs = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    order = (F.col("doc_id").desc_nulls_last(), F.col("tie"))
+    ranges = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = cut(in_batches(ranges, _stream, OUT + ", edge int, tie long, text string"))
+    # two rows a range: each last row is followed by the first row of the next range, the very last by the very first
+    edges = found.where("edge is not null").select("doc_id", "tie", "edge", "text")
+    every = Window.orderBy(*order, "edge")
+    next_text = F.coalesce(F.lead("text").over(every), F.first("text").over(every))
+    pairs = edges.withColumn("after", next_text).where("edge = 1").select("doc_id", "text", "after")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, after in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "after")]):
+                yield _compared([doc_id, None], [text, after])
+
+    return found.where("edge is null").select(*NAMES).union(in_batches(pairs, task, OUT))
+
+
+def within(marks: DataFrame, radius: int, blocks: int = 2) -> DataFrame:
+    """Pairs (a, b, distance) of different fingerprints within `radius` bits, a < b, each once; `blocks` equal ones make a key.
+
+    A key is about BITS * blocks / (radius + blocks) bits wide: it should be wider than the logarithm of the number of
+    fingerprints.  Equal fingerprints are one entry, so copies do not multiply.
     """
-    cuts = [round(i * BITS / (radius + 2)) for i in range(radius + 3)]
-    distinct = marks.select("fingerprint").distinct()
+    n = radius + blocks
+    cuts = [round(i * BITS / n) for i in range(n + 1)]
     bits = F.concat(*[F.lpad(F.conv(F.substring("fingerprint", 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(4)])
-    entry = distinct.withColumn("bits", bits)
-    tables = F.array(*[F.struct(F.lit(t).alias("table"), F.concat(*[F.substring("bits", cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in pair]).alias("key"))
-                       for t, pair in enumerate(combinations(range(radius + 2), 2))])
-    filed = entry.select("fingerprint", F.explode(tables).alias("slot")).select("fingerprint", "slot.*")
+    keys = F.array(*[F.xxhash64(F.lit(t), *[F.substring("bits", cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in some]) for t, some in enumerate(combinations(range(n), blocks))])
+    filed = marks.select("fingerprint").distinct().withColumn("bits", bits).select("fingerprint", F.explode(keys).alias("key"))
+    sizes = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    live = cut(filed.join(sizes, "key"))
+    rare = live.where(F.col("size") <= SMALL).select("key", "fingerprint")
+    left, right = rare.withColumnRenamed("fingerprint", "a"), rare.withColumnRenamed("fingerprint", "b")
     words = lambda c: [F.conv(F.substring(c, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
-    distance = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words("a"), words("b"))), F.lit(0))
-    left, right = filed.withColumnRenamed("fingerprint", "a"), filed.withColumnRenamed("fingerprint", "b")
-    return (left.join(right, ["table", "key"]).where("a < b").withColumn("distance", distance)
-            .where(F.col("distance") <= radius).select("a", "b", "distance").distinct())
+    distance = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words("a"), words("b"))), F.lit(0)).cast("int")
+    few = left.join(right, "key").where("a < b").select("a", "b", distance.alias("distance"))
+    sides = F.ceil(F.col("size") / TILE)
+    tiles = (live.where(F.col("size") > SMALL).withColumn("side", F.pmod(F.xxhash64("fingerprint"), sides))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
+             .select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "fingerprint"))
+
+    def task(rows: pa.Table) -> pa.Table:
+        side, other = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        names = np.array(rows.column("fingerprint").to_pylist())
+        values = np.array([np.frombuffer(bytes.fromhex(x), dtype=np.uint64) for x in names])
+        here = np.flatnonzero(rows.column("side").to_numpy() == side)
+        there = here if side == other else np.flatnonzero(rows.column("side").to_numpy() == other)
+        far = np.bitwise_count(values[here][:, None] ^ values[there][None]).sum(axis=2, dtype=np.int32)
+        x, y = np.nonzero((far <= radius) & (side != other or np.arange(len(here))[:, None] < np.arange(len(there))))
+        columns = [pa.array(names[here[x]].tolist(), type=pa.string()), pa.array(names[there[y]].tolist(), type=pa.string()), pa.array(far[x, y])]
+        return pa.table(columns, names=["x", "y", "distance"])
+
+    found = tiles.groupBy("key", "i", "j").applyInArrow(task, "x string, y string, distance int")
+    many = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    return few.where(F.col("distance") <= radius).union(many).distinct()
