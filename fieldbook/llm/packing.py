@@ -1,18 +1,30 @@
-"""Mixture-controlled packing: deficit round-robin over source queues.
+"""Mixture-controlled packing: deficit round-robin over source queues, with a quantum and carried deficits.
 
-Each source is a queue of its documents' token ids (each document ends with `EOS`).  Every window of `window` ids takes
-from every queue its share by weight; what rounding keeps back from a queue in one window is its deficit, carried into
-the next, so after any number of windows each queue is within one id of its share.  When a queue runs dry the window is
-completed from the others and the shares are reset to those that remain.  Only the very last window can have padding.
+Each source is a queue of its documents' token ids (each document ends with `EOS`).  Queues are served in quanta of
+`QUANTUM` ids, which divides the window.  A queue's claim grows with every id that is packed, by its weight; while it is
+below a quantum it is kept as the queue's deficit, over windows and partitions alike, so a rare source is not crumbled:
+its quanta come whole, in every so many windows.  When a queue runs dry, the others share what it would have had.
 
-The round-robin has a closed form, so it needs no sequential pass: with queues in a fixed order and running shares B
-(fixed point, the last B is the window), after j windows of a phase the first s queues have given floor(j * B[s]) ids
-together.  A task that knows where a document begins in its queue therefore knows all its pieces, and deficits carry
-across partitions as they do across windows.  The plan needs only the queues' totals (one row per source; beyond
-`MAX_QUEUES` sources, sources share queues by hash).
+The order of service has a closed form, so it needs no sequential pass.
 
-Defined results: a null text is only the end id; a null source is a queue of its own; repeated rows are documents of
-their own; an empty table gives no pieces; very long documents are cut over many windows.
+1. A phase is a stretch in which each queue gives a fixed number of quanta (see `plan`).
+2. In a phase the queues are the leaves of a balanced binary tree.  A node that has n quanta, l of them from its left
+   side, takes its i-th from the left if floor((i + 1) l / n) > floor(i l / n): either side is within one quantum of its
+   share at all times, and both end with the node.  A queue is thus within as many quanta of its share as the tree is
+   deep.
+3. Going up from a leaf, each step turns a quantum's place on one side into its place in the node, by one division.  A
+   task that knows where a document begins in its queue therefore finds the window of each of its quanta by itself.
+4. What is left of each queue, less than a quantum, is packed at the end, queue by queue.
+
+All windows are full but the last.  A document's pieces end where the document, a quantum or a window ends; quanta that
+follow each other in a window are one piece.
+
+One row per source (its name and total) reaches the driver and every task: sources are a dimension, not data.
+
+Defined results: a null text is only the end id; a null source is a queue of its own; rows with a null doc_id and
+repeated rows are documents of their own; very long documents are cut over many windows; sources without a weight, or
+with a weight of 0, are packed after all others, by their totals; an empty table gives no pieces; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,138 +37,165 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fieldbook.llm import textops, tokens
-from fieldbook.llm.job import before, cut
+from fieldbook.llm.job import before, cut, in_batches
 
 WINDOW = 4096
-MAX_QUEUES = 4096
-CHUNKS = 512
-BITS = 20
+QUANTUM = 256
+#: Where more queues run dry at different times, their ends are rounded up to so many steps of equal ratio.
+PHASES = 64
+#: Ids of a queue that one task puts in order, and the fewest tasks that a queue is dealt to.
+CHUNK_IDS, CHUNKS = 16_000_000, 512
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, source, ids (little-endian unsigned 32-bit, compacted to 16 bits) and n of every row."""
+    """doc_id, source, ids (little-endian, as narrow as the vocabulary allows) and n of every row."""
+    kind = tokens.width(path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokens.word_tokenizer(path)
         for batch in batches:
-            for part in textops.slices(batch, "text", tokens.SLICE_BYTES):
+            for part in textops.slices(batch, "text"):
                 ids, n = tokenizer.encode(part.column("text"))
-                ends = np.cumsum(n)
-                flat = np.insert(ids, ends, tokens.EOS).astype("<u2")
-                offsets = np.concatenate([[0], np.cumsum(n + 1)]) * 2
-                blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)])
+                flat = np.insert(ids, np.cumsum(n), tokens.EOS).astype(kind)
+                offsets = (np.concatenate([[0], np.cumsum(n + 1)]) * flat.itemsize).astype(np.int64)
+                blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), blob.cast(pa.binary()), pa.array(n + 1)],
                                                  names=["doc_id", "source", "ids", "n"])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(task, "doc_id long, source string, ids binary, n long")
+    return in_batches(docs.select("doc_id", "source", "text"), task, "doc_id long, source string, ids binary, n long")
+
+
+def divide(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """floor(a * b / c) where the product may be beyond 64 bits: an estimate, put right by the wrapped remainder."""
+    estimate = np.floor(a.astype(np.float64) * b / c).astype(np.int64)
+    with np.errstate(over="ignore"):
+        rest = a * b - estimate * c
+    return estimate + rest // c
 
 
-def plan(totals: list[tuple[str, int]], weights: dict[str, float] | None, window: int = WINDOW) -> dict[str, list[tuple[int, ...]]]:
-    """Phases of each queue: (position it begins at, first window, windows, running share below, running share, offset).
+def plan(totals: np.ndarray, weights: np.ndarray | None = None, quantum: int = QUANTUM) -> np.ndarray:
+    """Quanta that each queue (column) has given by the end of each phase (row), beginning with none.
 
-    The last two of a phase of one odd window are a fixed length and offset instead (offset >= 0).
-    Default weights are the queues' totals, so that every window has the mixture of the whole.
+    By default a queue's weight is its total, so all run dry together: one phase.  Else queues of weight w and n quanta
+    run dry at the times n / w; a phase ends where one does.
     """
-    order = sorted(q for q, n in totals if n)
-    left = {q: n for q, n in totals if n}
-    weight = {q: (weights.get(q, 0.0) if weights else left[q]) for q in order}
-    if weights:
-        order = [q for q in order if weight[q] > 0] + [q for q in order if weight[q] <= 0]
-    at = dict.fromkeys(order, 0)
-    phases: dict[str, list[tuple[int, ...]]] = {q: [] for q in order}
-    first = 0
-    while order:
-        live = [q for q in order if weight[q] > 0] or order
-        total = sum(weight[q] or 1 for q in live)
-        shares, run = [0], 0.0
-        for q in live:
-            run += (weight[q] or 1) / total
-            shares.append(min(int(run * (window << BITS)), window << BITS))
-        shares[-1] = window << BITS
-        windows = None
-        for s, q in enumerate(live):
-            share = shares[s + 1] - shares[s]
-            fit = ((left[q] << BITS) // share if share else 1 << 60)
-            while fit and (fit * shares[s + 1] >> BITS) - (fit * shares[s] >> BITS) > left[q]:
-                fit -= 1
-            windows = fit if windows is None else min(windows, fit)
-        if windows:
-            for s, q in enumerate(live):
-                phases[q].append((at[q], first, windows, shares[s], shares[s + 1], -1))
-                given = (windows * shares[s + 1] >> BITS) - (windows * shares[s] >> BITS)
-                at[q] += given
-                left[q] -= given
-            first += windows
-        # one odd window: shares again, and whatever a dry queue lacks comes from the next ones that have ids
-        room, offset, takes = window, 0, {}
-        for s, q in enumerate(live):
-            takes[q] = min(left[q], (shares[s + 1] >> BITS) - (shares[s] >> BITS))
-            room -= takes[q]
-        for q in [*live, *[x for x in order if x not in live]]:
-            more = min(room, left[q] - takes.get(q, 0))
-            takes[q] = takes.get(q, 0) + more
-            room -= more
-        for q in order:
-            if takes.get(q):
-                phases[q].append((at[q], first, 1, takes[q], 0, offset))
-                at[q] += takes[q]
-                left[q] -= takes[q]
-                offset += takes[q]
-        first += bool(offset)
-        order = [q for q in order if left[q]]
-    return phases
-
-
-def pieces(start: int, n: int, phases: list[tuple[int, ...]], begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(offset in the document, length, window, offset in the window) of a document at `start` of its queue."""
-    x, end = start, start + n
-    k = int(np.searchsorted(begins, x, side="right")) - 1
-    while x < end:
-        begin, first, windows, low, high, fixed = phases[k]
-        if fixed >= 0:
-            take = min(end, begin + low) - x
-            yield x - start, take, first, fixed + x - begin
-            x += take
-        else:
-            place, share = x - begin, high - low
-            j = min(max((place << BITS) // share - 1, 0), windows - 1) if share else 0
-            given = lambda j: (j * high >> BITS) - (j * low >> BITS)
-            while j < windows and given(j + 1) <= place:
-                j += 1
-            while x < end and j < windows:
-                a, b = given(j), given(j + 1)
-                if b > a:
-                    take = min(end - begin, b) - (x - begin)
-                    yield x - start, take, first + j, ((j + 1) * low >> BITS) - (j * low >> BITS) + (x - begin - a)
-                    x += take
-                j += 1
-        k += 1
-
-
-def pack(docs: DataFrame, path: str, weights: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
+    quanta = totals // quantum
+    weights = np.where(totals > 0, totals, 0).astype(np.float64) if weights is None else weights
+    some = (quanta > 0) & (weights > 0)
+    dry = np.divide(quanta, weights, out=np.zeros(len(quanta)), where=some)
+    times = np.unique(dry[some])
+    if weights is not None and len(times) and (np.ptp(quanta[some] - weights[some] * times[-1]) < 1):
+        times = times[-1:]  # they differ by less than a quantum
+    if len(times) > PHASES:
+        times = np.geomspace(times[0], times[-1], PHASES)
+        times[-1] = dry.max()
+    rows = [np.zeros_like(quanta)]
+    for k, t in enumerate(times):
+        over = dry <= t if k < len(times) - 1 else some
+        # a queue that runs dry within the phase gives the rest evenly over it
+        given = np.minimum(np.floor(np.minimum(t * weights, 2.0**62)).astype(np.int64), quanta)
+        rows.append(np.maximum(rows[-1], np.where(some, np.where(over, quanta, given), 0)))
+    if (quanta > rows[-1]).any():
+        rows.append(quanta)
+    return np.array(rows)
+
+
+def places(given: np.ndarray, queue: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """The place among all quanta of the nth quantum of a queue, for each pair."""
+    out = np.zeros(len(nth), dtype=np.int64)
+    phase = (given[1:, queue] <= nth).sum(axis=0)
+    for p in np.unique(phase).tolist():
+        some = np.flatnonzero(phase == p)
+        counts = given[p + 1] - given[p]
+        sums = np.concatenate([[0], np.cumsum(counts)])
+        leaf, at = np.unique(queue[some], return_inverse=True)
+        low, high = np.zeros(len(leaf), dtype=np.int64), np.full(len(leaf), len(counts))
+        path: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while (high - low > 1).any():
+            inner = high - low > 1
+            mid = np.where(inner, (low + high) // 2, high)
+            left = leaf < mid
+            path.append((left, sums[mid] - sums[low], sums[high] - sums[mid]))
+            low, high = np.where(left, low, mid), np.where(left, mid, high)
+        place = nth[some] - given[p, queue[some]]
+        for left, l, r in reversed(path):
+            from_left, l, r = left[at], np.maximum(l[at], 1), r[at]
+            n = l + r
+            # ceil((place + 1) n / l) - 1 from the left, floor(place n / r) from the right
+            up = np.where(from_left, -divide(-(place + 1), n, l) - 1, divide(place, n, np.maximum(r, 1)))
+            place = np.where(from_left & (r == 0), place, up)
+        out[some] = given[p].sum() + place
+    return out
+
+
+def pieces(start: np.ndarray, n: np.ndarray, queue: np.ndarray, totals: np.ndarray, given: np.ndarray, window: int = WINDOW,
+           quantum: int = QUANTUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, offset in it, length, place in the stream) of each piece of documents at `start` of their queues."""
+    quanta = totals // quantum
+    end = start + n
+    # quanta that the document touches; the queue's rest counts as one more
+    first, last = start // quantum, (end - 1) // quantum
+    many = last - first + 1
+    doc = np.repeat(np.arange(len(n)), many)
+    nth = np.repeat(first, many) + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    low = np.maximum(nth * quantum, start[doc])
+    high = np.minimum((nth + 1) * quantum, end[doc])
+    rest = nth >= quanta[queue[doc]]
+    place = np.zeros(len(doc), dtype=np.int64)
+    whole = np.flatnonzero(~rest)
+    place[whole] = places(given, queue[doc[whole]], nth[whole]) * quantum
+    rests = totals - quanta * quantum
+    place[rest] = quanta.sum() * quantum + (np.cumsum(rests) - rests)[queue[doc[rest]]]
+    place += low - nth * quantum
+    # the rests at the end may cross a window
+    crossing = place // window != (place + (high - low) - 1) // window
+    if crossing.any():
+        split = np.where(crossing, window - place % window, 0)
+        at = np.repeat(np.arange(len(doc)), 1 + crossing)
+        second = np.zeros(len(at), dtype=bool)
+        second[np.flatnonzero(np.diff(at, prepend=-1) == 0)] = True
+        doc, cut_at = doc[at], low[at] + split[at]
+        low, high = np.where(second, cut_at, low[at]), np.where(crossing[at] & ~second, cut_at, high[at])
+        place = place[at] + np.where(second, split[at], 0)
+    # pieces that go on where the one before ends, in its window, are one
+    same = np.zeros(len(doc), dtype=bool)
+    same[1:] = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + high[:-1] - low[:-1]) & (place[1:] % window != 0)
+    begins = np.flatnonzero(~same)
+    return doc[begins], (low - start[doc])[begins], np.add.reduceat(high - low, begins) if len(begins) else begins, place[begins]
+
+
+def pack(docs: DataFrame, path: str, weights: dict[str, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM) -> DataFrame:
     """All pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and source."""
-    rows = cut(tokenize(docs, path))
-    queue = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
-    if rows.select("source").distinct().count() > MAX_QUEUES:
-        queue, weights = F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string"), None
-    rows = rows.withColumn("queue", queue)
-    totals = [(r["queue"], r["n"]) for r in rows.groupBy("queue").agg(F.sum("n").alias("n")).collect()]
-    phases = plan(totals, {f"={k}": v for k, v in weights.items()} if weights else None, window)
-    placed = before(rows, ["queue"], ["doc_id", "ids"], "n", "at", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)))
+    if window % quantum:
+        raise ValueError("the quantum must divide the window")
+    spark, kind = docs.sparkSession, tokens.width(path)
+    rows = cut(tokenize(docs, path)).withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    found = sorted((r["queue"], r["n"]) for r in rows.groupBy("queue").agg(F.sum("n").alias("n")).collect())
+    totals = np.array([n for _, n in found], dtype=np.int64)
+    chosen = np.array([weights.get(q[1:], 0.0) if q[0] == "=" else 0.0 for q, _ in found]) if weights else None
+    shared = spark.sparkContext.broadcast(({q: i for i, (q, _) in enumerate(found)}, totals, plan(totals, chosen, quantum)))
+    chunks = max(CHUNKS, int(totals.max(initial=0)) // CHUNK_IDS)
+    placed = before(rows, ["queue"], ["doc_id", "ids"], "n", "at", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(chunks)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begins = {q: np.array([p[0] for p in ps], dtype=np.int64) for q, ps in phases.items()}
+        number, totals, given = shared.value
         for batch in batches:
-            columns = [batch.column(c) for c in ("doc_id", "source", "queue", "ids", "n", "at")]
-            for rows in range(0, batch.num_rows, 500):
-                out: list[tuple] = []
-                for doc, source, q, raw, n, at in zip(*[c.slice(rows, 500).to_pylist() for c in columns]):
-                    ids = memoryview(np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes())
-                    for start, length, sequence, offset in pieces(at, n, phases[q], begins[q]):
-                        out.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, sequence, offset, source))
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                queue = np.array([number[q] for q in part.column("queue").to_pylist()], dtype=np.int64)
+                n = part.column("n").to_numpy()
+                doc, start, length, place = pieces(part.column("at").to_numpy(), n, queue, totals, given, window, quantum)
+                raw = part.column("ids").to_pylist()
+                sums, last, ids = [], -1, memoryview(b"")
+                for d, a, k in zip(doc.tolist(), (4 * start).tolist(), (4 * length).tolist()):
+                    if d != last:
+                        last, ids = d, memoryview(np.frombuffer(raw[d], dtype=kind).astype("<u4").tobytes())
+                    sums.append(zlib.crc32(ids[a : a + k]))
+                of = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=pa.int64()) for c in list(zip(*out))[:7]] + [pa.array([x[7] for x in out], type=pa.string())], names=[*names, "source"])
+                    [part.column("doc_id").take(of), pa.array(start), pa.array(length), pa.array(sums, type=pa.int64()), pa.array(n[doc]),
+                     pa.array(place // window), pa.array(place % window), part.column("source").take(of)],
+                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
-    return placed.select("doc_id", "source", "queue", "ids", "n", "at").mapInArrow(
-        task, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    return in_batches(placed.select("doc_id", "source", "queue", "ids", "n", "at"), task,
+                      "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
