@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from fieldbook.llm import jaccard, language, lines, mixing, packing
 from fieldbook.llm.job import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text of at least LONG characters is rejected if it is less like its language than LEAST.
-LONG, LEAST = 200, 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and longer texts like no language; `lang` becomes the language found."""
+    """Rejects what `language.accepted` rejects, by its default limits; `lang` becomes the language found."""
     docs = docs.select(*COLUMNS)
     found = language.identify(docs, language.train(docs), COLUMNS)
-    odd = (F.col("lang_pred") == language.UNKNOWN) | ((F.length("text") >= LONG) & (F.col("score") < LEAST))
-    return found.where(~odd).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    return language.accepted(found, "text").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +24,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
+    """Keeps the document with the smallest doc_id of each group of near duplicates.
+
+    Rows of one doc_id are one document, whose group is that of all its texts: its different texts stay or go together;
+    of equal rows one stays, and so do all rows without an id.
+    """
     docs = docs.select(*COLUMNS)
     kept = jaccard.similar(docs).where("component_id = doc_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*COLUMNS)
-    return rows.union(docs.where("doc_id is null"))
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_mark", F.xxhash64("text", "lang", "source", "n_chars")).dropDuplicates(["doc_id", "_mark"])
+    return rows.select(*COLUMNS).union(docs.where("doc_id is null"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,64 @@ def test_language_id(spark, empty):
     assert got == {(3, "und", 0.0), (4, "und", 0.0)}
 
 
+def by_loops(text):
+    """The profile of a text, letter by letter and bit by bit."""
+    letters = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    while "  " in letters:
+        letters = letters.replace("  ", " ")
+    lanes = language.BITS // 64
+    vectors = {c: [int(w) for w in language.letter_vectors(np.array([ord(c)], dtype=np.uint32))[0]] for c in set(letters)}
+    rolled = lambda c, k: [vectors[c][(i - k) % lanes] for i in range(lanes)]
+    out = [0] * language.BITS
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        bound = [x ^ y ^ z for x, y, z in zip(rolled(a, 2), rolled(b, 1), vectors[c])]
+        for i in range(language.BITS):
+            octet = bound[i // 64] >> (i % 64 // 8 * 8) & 255
+            out[i] += -1 if octet >> (7 - i % 8) & 1 else 1
+    return out
+
+
+def test_language_profiles_by_loops(monkeypatch):
+    texts = ["the house is there", "Über den  Häusern, 12 x", "日本語の文", "", "1 2", "a"]
+    want = [by_loops(t) if any(c.isalpha() for c in t) else [0] * language.BITS for t in texts]
+    got, has = language.profile(texts)
+    assert has.tolist() == [any(c.isalpha() for c in t) for t in texts] and got.tolist() == want
+    monkeypatch.setattr(language, "PIECE", 7)  # long texts in pieces
+    monkeypatch.setattr(language, "GRAMS", 3)
+    assert language.profile(texts)[0].tolist() == want
+
+
+def test_language_by_cosines(spark):
+    """Prototypes, and the language of the largest cosine, in plain loops."""
+    rows = [(i, t, lang, "a") for i, (t, lang) in enumerate([("the house is there", "en"), ("they say that", "en"), ("das Haus ist dort", "de"), ("sie sagen das", "de"), ("maison la", "fr"),
+                                                            ("this is that", None), ("der Hund ist da", None)] * 4)]
+    unit = lambda v: np.array(v, dtype=np.float64) / np.linalg.norm(v)
+    protos = {}
+    for i, t, lang, _ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            protos[lang] = protos.get(lang, 0) + unit(by_loops(t))
+    units = {k: unit(v) for k, v in protos.items()}
+    common = sum(units.values()) / len(units)
+    got = {r["doc_id"]: r for r in language.language_id(docs(spark, rows)).collect()}
+    for i, t, _, _ in rows:
+        v = unit(by_loops(t))
+        best = max(sorted(units), key=lambda k: float((v - common) @ unit(units[k] - common)))
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - max(0, v @ units[best])) < 1e-4
+
+
+def test_language_memory():
+    """A megabyte of Chinese in many texts, and one text of ten."""
+    import subprocess
+    import sys
+
+    code = ("import resource, numpy as np; from fieldbook.llm import language; r = np.random.default_rng(1); base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+            "t = [''.join(map(chr, r.integers(0x4e00, 0x4e00 + 3500, 830))) for _ in range(400)]\n"
+            "language.profile(t); language.profile([''.join(t) * 10])\n"
+            "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)")
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(done.stdout.split()[-1]) < 300
+
+
 def near(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
@@ -163,10 +221,30 @@ def test_simhash(spark, small, empty):
     marks = simhash.fingerprint(small.union(small))
     assert marks.select("doc_id", "fingerprint").distinct().count() == len(rows)
     assert simhash.edited(empty).count() == 0
-    distinct = sorted({r["fingerprint"] for r in marks.collect()})
-    for radius in (0, 3, 12):
-        want = {(a, b) for a, b in combinations(distinct, 2) if (int(a, 16) ^ int(b, 16)).bit_count() <= radius}
-        assert {(r["a"], r["b"]) for r in simhash.within(marks, radius).collect()} == want
+    odd = docs(spark, [(5, "a b c", None, None), (5, "d e f", None, None), (None, "g h i", None, None), (5, "a b c", None, None)])
+    assert sorted(r["doc_id"] or 0 for r in simhash.edited(odd).collect()) == [0, 5, 5, 5]
+    one = simhash.edited(docs(spark, [(1, "some words to be edited", None, None)])).first()
+    assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"some words to be" + b"some wo").hexdigest()
+
+
+@pytest.mark.parametrize("small", [64, 4])
+def test_simhash_within(spark, small, monkeypatch):
+    """Block tables against all pairs, also where many fingerprints share a key and are compared in tiles."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "TILE", 16)
+    rnd = random.Random(4)
+    base = rnd.getrandbits(128)
+    marks = [rnd.getrandbits(128) for _ in range(30)] + [base] * 3
+    for _ in range(60):
+        marks.append(base ^ sum(1 << b for b in rnd.sample(range(128), rnd.randint(1, 4))))
+    rows = [(i, f"{m:032x}") for i, m in enumerate(marks)]
+    frame = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    distinct = sorted({r[1] for r in rows})
+    for radius, blocks in ((0, 2), (3, 2), (4, 3)):
+        far = {(a, b): (int(a, 16) ^ int(b, 16)).bit_count() for a, b in combinations(distinct, 2)}
+        want = {(a, b, d) for (a, b), d in far.items() if d <= radius}
+        assert {(r["a"], r["b"], r["distance"]) for r in simhash.within(frame, radius, blocks).collect()} == want
+    assert simhash.within(frame.where("false"), 3).count() == 0
 
 
 def test_simhash_by_votes():
@@ -207,57 +285,149 @@ def test_packing(spark, small, empty, weights):
     assert packing.pack(empty, path).count() == 0
 
 
+def packed(totals, weights=None, window=packing.WINDOW, quantum=packing.QUANTUM, seed=1):
+    """Pieces of random documents as (queue, document, offset, length, place), checked for gaps and cuts."""
+    rnd = np.random.default_rng(seed)
+    totals = np.array(totals, dtype=np.int64)
+    start, n, queue = [], [], []
+    for q, t in enumerate(totals.tolist()):
+        at = 0
+        while at < t:
+            n.append(min(t - at, int(rnd.integers(1, 3000))))
+            start.append(at)
+            queue.append(q)
+            at += n[-1]
+    start, n, queue = (np.array(x, dtype=np.int64) for x in (start, n, queue))
+    given = packing.plan(totals, None if weights is None else np.array(weights, dtype=float), quantum)
+    doc, offset, length, place = packing.pieces(start, n, queue, totals, given, window, quantum)
+    order = np.argsort(place)
+    assert (place[order] == np.concatenate([[0], np.cumsum(length[order])[:-1]])).all() and length.sum() == totals.sum()
+    assert (place // window == (place + length - 1) // window).all()
+    order = np.lexsort((offset, doc))
+    begins = np.diff(doc[order], prepend=-1) != 0
+    assert (offset[order][begins] == 0).all() and (offset[order][1:] == (offset + length)[order][:-1])[~begins[1:]].all()
+    return queue[doc], doc, offset, length, place
+
+
 def test_packing_keeps_the_mixture():
-    """Every full window of the first phase holds each queue's share to within one id."""
-    phases = packing.plan([("a", 70_000), ("b", 20_000), ("c", 3)], {"a": 3, "b": 1, "c": 1}, 100)
-    taken = {}
-    for q, n in (("a", 70_000), ("b", 20_000), ("c", 3)):
-        begins = np.array([p[0] for p in phases[q]])
-        for _, length, window, _ in packing.pieces(0, n, phases[q], begins):
-            taken[window, q] = taken.get((window, q), 0) + length
-    full = [w for w in range(3, 600)]
-    assert all(abs(sum(taken.get((w, "a"), 0) for w in full[:k]) - 75 * k) <= 1 for k in range(1, len(full)))
-    assert sum(taken.values()) == 90_003
+    """At any time each queue is within a few quanta of its share; when one runs dry, the others share the rest."""
+    totals, weights = [700_000, 200_000, 3, 300_000], [3, 1, 1, 0]
+    queue, _, _, length, place = packed(totals, weights)
+    dry = 200_000 * 4  # a and b by 3 to 1 until b is dry
+    for end in range(4096, dry, 40_960):
+        inside = np.minimum(np.maximum(end - place, 0), length)
+        assert abs(inside[queue == 0].sum() - end * 3 / 4) <= 3 * packing.QUANTUM
+    assert place[queue == 3].min() >= 890_000
+    queue, _, _, length, place = packed([700_000, 200_000, 100_000])
+    for end in range(4096, 1_000_000, 40_960):
+        inside = np.minimum(np.maximum(end - place, 0), length)
+        assert all(abs(inside[queue == q].sum() - end * share) <= 3 * packing.QUANTUM for q, share in enumerate((0.7, 0.2, 0.1)))
+
+
+def test_packing_of_rare_and_many_sources():
+    queue, doc, offset, length, place = packed([10_000_000, 1000])
+    assert sorted(length[queue == 1])[1:] == [256, 256, 256] or len(length[queue == 1]) <= 6  # quanta, but for ends of documents
+    rnd = np.random.default_rng(3)
+    totals, weights = rnd.integers(2000, 20_000, 5000), rnd.random(5000) + 0.1
+    queue, _, _, length, place = packed(totals, weights)
+    first_dry = (totals / weights).min()
+    end = int(first_dry * weights.sum())  # until the first queue is dry all have their targets
+    got = np.bincount(queue, weights=np.minimum(np.maximum(end - place, 0), length), minlength=5000)
+    assert np.abs(got - first_dry * weights).max() <= 14 * packing.QUANTUM
+    for seed in range(20):
+        k = int(rnd.integers(1, 30))
+        some = rnd.integers(0, 50_000, k)
+        packed(some, seed=seed)
+        packed(some, rnd.integers(0, 4, k), 100, 20, seed)
+
+
+def test_division_beyond_64_bits():
+    rnd = random.Random(1)
+    for _ in range(500):
+        a, c = rnd.randrange(10**12), rnd.randrange(1, 10**12)
+        b = rnd.randrange(c + 1) + c
+        assert packing.divide(np.array([a]), np.array([b]), np.array([c]))[0] == a * b // c
+        assert packing.divide(np.array([-a]), np.array([b]), np.array([c]))[0] == -a * b // c
+
+
+def test_packing_of_odd_rows(spark):
+    """Null ids and repeated rows are documents of their own."""
+    path = tokenizer_file("word_bpe_49k.json")
+    rows = [(None, "one two", None, "a"), (None, None, None, None), (7, "same row", None, "b"), (7, "same row", None, "b"), (7, "other", None, "b")]
+    got = packing.pack(docs(spark, rows), path).collect()
+    assert sum(r["length"] for r in got) == sum(r["doc_tokens"] for r in got) and sorted(str(r["doc_id"]) for r in got) == ["7", "7", "7", "None", "None"]
+    at = 0
+    for r in sorted(got, key=lambda r: r["offset"]):
+        assert r["offset"] == at
+        at += r["length"]
 
 
 def test_token_counts(spark, small, empty):
+    """Against the unigram model of another library over the same pieces and scores, long texts and unknown characters too."""
+    import sentencepiece
+    from tokenizers import models
+
     path = tokenizer_file("piece_bpe_32k.model")
-    vocabulary = dict(counting.vocabulary(path))
-    worst = min(vocabulary.values()) - counting.UNKNOWN_PENALTY
-
-    def count(word):
-        best = [(0.0, 0, False)]
-        for end in range(1, len(word) + 1):
-            top = None
-            for start in range(max(0, end - 48), end):  # the longest last piece first
-                score = vocabulary.get(word[start:end])
-                if score is not None and (top is None or best[start][0] + score > top[0]):
-                    top = (best[start][0] + score, best[start][1] + 1, False)
-            if word[end - 1] not in vocabulary and (top is None or best[end - 1][0] + worst > top[0]):
-                top = (best[end - 1][0] + worst, best[end - 1][1] + (not best[end - 1][2]), True)
-            best.append(top)
-        return best[-1][1]
-
-    got = {r["doc_id"]: r["n_tokens"] for r in counting.token_counts(small, path).collect()}
-    for i, t, *_ in corpus():
-        if t is None or len(t) < 2000:
-            assert got[i] == sum(count("▁" + w) for w in (t or "").split()), i
+    file = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = models.Unigram([(file.id_to_piece(i), file.get_score(i)) for i in range(file.get_piece_size())], file.unk_id(), True)
+    more = ["  a  b ", " ", "日本語 𝒳𝒳 \n\n x\t y", "▁a ▁", "a" * 5000, "𝒳" * 3000, "line\nline\r\n end "]
+    rows = [*corpus(), *[(1000 + i, t, None, None) for i, t in enumerate(more)], (None, "no id", None, None), (None, "no id", None, None)]
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in counting.token_counts(docs(spark, rows), path).collect())
+    assert got == sorted((str(i), len(model.tokenize("▁" + t.replace(" ", "▁"))) if t else 0) for i, t, *_ in rows)
     assert counting.token_counts(empty, path).count() == 0
 
 
+def test_token_counts_of_other_vocabularies():
+    """Without byte pieces a run of unknown characters is one; ties go to the piece that begins first."""
+    from tokenizers import models
+
+    pieces = [("<unk>", 0.0), ("▁", -2.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -3.0), ("ba", -2.0), ("aab", -3.0)]
+    counter, model = counting.Counter(pieces[1:], False), models.Unigram(pieces, 0, False)
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("ab xy") for _ in range(rnd.randint(1, 12))) for _ in range(400)]
+    import pyarrow as pa
+
+    assert counter.counts(pa.array(texts)).tolist() == [len(model.tokenize("▁" + t.replace(" ", "▁"))) for t in texts]
+    with pytest.raises(ValueError):
+        counting.Counter([("a▁b", -1.0)], False)
+
+
+def test_known_hashes():
+    known = textops.Known(3)
+    assert known.add(np.array([5, 9], dtype=np.uint64), np.array([1, 2])) == 2 and known.add(np.array([1, 7], dtype=np.uint64), np.array([3, 4])) == 1
+    assert known.get(np.array([1, 5, 7, 9, 11], dtype=np.uint64)).tolist() == [3, 1, -1, 2, -1]
+
+
 def test_topk(spark):
     rnd = random.Random(5)
     rows = [(i, [rnd.randint(-3, 3) / 4 for _ in range(6)]) for i in range(400)] + [(500, None), (550, [None] * 6), (600, [float("nan")] * 6), (650, [float("inf")] * 6), (700, []), (50, [0.1] * 6)]
     rows += [rows[3], rows[3]]
     whole = sorted({(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in rows if v and None not in v and np.isfinite(v).all()})
     want = []
-    for q, qv in (x for x in whole if x[0] % 50 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(qv, cv)), c) for c, cv in whole if c != q)
-        want += [(q, -s, c) for s, c in scores[:5]] if q != 50 else []
+    for q in sorted({i for i, _ in whole if i % 50 == 0}):  # an id with two vectors asks with both
+        scores = sorted((-sum(a * b for a, b in zip(qv, cv)), c) for i, qv in whole if i == q for c, cv in whole if c != q)
+        want += [(q, k, -s, c) for k, (s, c) in enumerate(scores[:5], 1)]
     frame = clash(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = [(r["query_id"], r["score"], r["vec_id"]) for r in topk.search(frame, 50, 5).orderBy("query_id", "rank").collect() if r["query_id"] != 50]
-    assert got == want
+    got = [(r["query_id"], r["rank"], r["score"], r["vec_id"]) for r in topk.search(frame, 50, 5).orderBy("query_id", "rank").collect()]
+    assert got == want and sum(i == 50 for i, _ in whole) == 2
     assert topk.search(frame.where("false"), 50, 5).count() == 0
+    few = spark.createDataFrame([(50, [1.0, 2.0]), (51, [3.0, 1.0]), (100, [1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.search(few, 50, 5).collect()] == [(50, 1, 51, 5 * 256 * 256)]
+
+
+def test_topk_over_blocks(spark, monkeypatch):
+    """Small blocks: bars are carried from the first to all others; many ties."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "PART", 32)
+    rnd = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rnd.integers(-2, 3, 8)]) for i in range(700)]
+    got = [(r["query_id"], r["score"], r["vec_id"]) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 10, 5).orderBy("query_id", "rank").collect()]
+    want = []
+    for q, qv in rows[::10]:
+        scores = sorted((-int(np.dot(qv, cv)) * 65536, c) for c, cv in rows if c != q)
+        want += [(q, -s, c) for s, c in scores[:5]]
+    assert got == want
 
 
 def shingle_set(t):
@@ -299,6 +469,9 @@ def test_mixing(spark, small, empty):
     columns = ["doc_id", "taken"]
     assert sorted(map(tuple, mixing.mix(small.repartition(5)).select(*columns).collect())) == sorted(map(tuple, got[columns].to_numpy().tolist()))
     assert mixing.mix(empty).count() == 0
+    odd = docs(spark, [(None, "a b", None, "s"), (None, "a b", None, "s"), (1, None, None, "s"), (1, None, None, "s"), (2, "c", None, None), (3, "d e f", None, "")])
+    again = mixing.mix(odd).toPandas()
+    assert len(again) == 6 and (again.taken <= 3 * again["size"]).all() and again.target.notna().all()
     copies = mixing.replicate(small.select("doc_id", "text", "source")).count()
     assert copies == got.copies.sum()
 
