@@ -15,17 +15,6 @@ from fieldbook.sources.tables import CONTACTS, RESOURCES, REVIEWS, TAXONOMY, USE
 SLUGS = ", ".join(repr(slug) for slug, _ in TAXONOMY)
 
 
-@query(f"""with {RESOURCES} select id, array_to_string([case when length(name) not between 1 and 10 then 'name' end, case when category not in ({SLUGS}) then 'category' end,
-  case when priority not between 0 and 1 then 'priority' end, case when coalesce(length(email), 0) > 300 then 'email' end], ',') as errors from resources
-where length(name) not between 1 and 10 or category not in ({SLUGS}) or priority not between 0 and 1 or coalesce(length(email), 0) > 300""")
-def import_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows an import would refuse, with the rules they break (limits narrowed so that some break)."""
-    rules = [("name", F.length("name").between(1, 10)), ("category", F.col("category").isin([slug for slug, _ in TAXONOMY])),
-             ("priority", F.col("priority").between(0, 1)), ("email", F.coalesce(F.length("email"), F.lit(0)) <= 300)]
-    rows = resources(spark, sf_dir).select("id", changes.errors(rules).alias("e")).where(F.size("e") > 0)
-    return rows.select("id", F.array_join("e", ",").alias("errors"))
-
-
 @query("""with c as (select conv_id, list(role = 'user' or role = 'assistant' order by turn) as consent, max(length(text)) as longest from conversations group by conv_id)
 select conv_id, len(consent) as n, len(list_filter(consent, lambda x: not x)) = 0 as all_consent, coalesce(longest, 0) <= 5000 as bounded from c""")
 def workflow_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
