@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, functions as F
 
 from fieldbook.functions.patterns import SPACE
@@ -32,3 +34,22 @@ def uri_component(text: Column) -> Column:
     for code, c in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
         out = F.replace(out, F.lit(code), F.lit(c))
     return out
+
+
+def html_field(label: str, value: Column) -> Column:
+    """A labelled line of a printed card; nothing for an empty value."""
+    said = F.concat(F.lit(f'<div class="field"><span class="label">{label}:</span> <span class="value">'), html(value), F.lit("</span></div>"))
+    return F.when(F.coalesce(value, F.lit("")) != "", said).otherwise("")
+
+
+def pads(key: str) -> tuple[bytes, bytes]:
+    """The inner and the outer block of a key for HMAC-SHA-256."""
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
+
+
+def hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 in hex: two nested digests; the padded key is known when the plan is built."""
+    inner, outer = (F.unhex(F.lit(pad.hex())) for pad in pads(key))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from fieldbook.functions.patterns import java
+from fieldbook.functions.text import once
 
 # fixed values: (what it is called, pattern, replacement), in order
 REDACTIONS = (
@@ -14,6 +15,8 @@ REDACTIONS = (
     ("DOB", r"(?i)\b(DOB|Date of Birth|born)\s*[:\-]?\s*(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{4}-\d{2}-\d{2})\b", "$1: [DOB REDACTED]"),
     ("long-digit (possible account/card)", r"\b\d{13,19}\b", "[REDACTED]"),
 )
+#: No redaction applies to a text without two digits in a row or a digit before one of these.
+DIGITS = r"\d[\d/\-.]"
 # fixed values: text of marketplaces that is no resource
 SPAM = (
     r"\bfiverr\b", r"\bupwork\b", r"\bfreelancer\.com\b", r"\bpeopleperhour\b", r"\bguru\.com\b", r"\btoptal\b", r"\bnocodedevs\b",
@@ -32,20 +35,25 @@ def spam(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """The text with personal data replaced; null is empty."""
-    text = F.coalesce(text, F.lit(""))
+    return _redacted(text)[-1]
+
+
+def _redacted(text: Column) -> list[Column]:
+    """The text after no, one, two ... redactions; a text without any digit is left alone."""
+    steps = [F.coalesce(text, F.lit(""))]
     for _, pattern, replacement in REDACTIONS:
-        text = F.regexp_replace(text, java(pattern), replacement)
-    return text
+        steps.append(once(steps[-1], lambda t, p=java(pattern), r=replacement: F.when(t.rlike(DIGITS), F.regexp_replace(t, p, r)).otherwise(t)))
+    return steps
 
 
 def redactions(text: Column) -> Column:
     """What redaction did, as notes in order."""
-    notes, left = [], F.coalesce(text, F.lit(""))
-    for name, pattern, replacement in REDACTIONS:
+    notes = []
+    for (name, pattern, _), left in zip(REDACTIONS, _redacted(text)):
         n = F.regexp_count(left, F.lit(java(pattern)))
-        notes.append(F.when(n > 0, F.concat(F.lit("Redacted "), n.cast("string"), F.lit(f" {name} pattern(s)"))))
-        left = F.regexp_replace(left, java(pattern), replacement)
-    return F.array_compact(F.array(*notes))
+        notes.append(once(n, lambda n, name=name: F.when(n > 0, F.concat(F.lit("Redacted "), n.cast("string"), F.lit(f" {name} pattern(s)")))))
+    whole = F.array_compact(F.array(*notes))
+    return F.when(F.coalesce(text, F.lit("")).rlike(DIGITS), whole).otherwise(F.array().cast("array<string>"))
 
 
 def redaction_changes(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from fieldbook.functions.patterns import SPACE, java
@@ -26,6 +28,8 @@ ARTIFACTS = (
     (r"(?m)^[ \t]+|[ \t]+$", ""),
     (r"\n{3,}", "\n\n"),
 )
+#: What a text has to contain for each of these steps to change it; "" where nothing plain is needed.
+NEEDS = ("【", "[L", "", "#", "**", "*", "**", "*", "", "", "\n\n\n")
 # fixed values: tags that are bookkeeping, not for readers
 INTERNAL_TAGS = r"(?i)^master_extract$|^deduplicated|^ri-\d+|^final_|^source:|^validation:"
 
@@ -34,6 +38,11 @@ def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f mentions it."""
+    return F.transform(F.array(value), lambda v: f(v))[0]
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -44,9 +53,12 @@ def squash(text: Column) -> Column:
 
 
 def clean_artifacts(text: Column) -> Column:
-    """Prose without citation marks, separator lines and stray Markdown; null if nothing is left."""
-    for pattern, replacement in ARTIFACTS:
-        text = F.regexp_replace(text, java(pattern), replacement)
+    """Prose without citation marks, separator lines and stray Markdown; null if nothing is left.
+
+    A step is passed over where a text has not the plain part (`NEEDS`) of what it looks for.
+    """
+    for (pattern, replacement), need in zip(ARTIFACTS, NEEDS):
+        text = once(text, lambda t, p=java(pattern), r=replacement, n=need: F.when(t.contains(n), F.regexp_replace(t, p, r)).otherwise(t) if n else F.regexp_replace(t, p, r))
     return squash(text)
 
 

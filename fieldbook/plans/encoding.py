@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
-from fieldbook.functions import encode
+from fieldbook.functions import encode, links
 from fieldbook.functions.patterns import SPACE
+from fieldbook.plans.facets import SHARE, share
 from fieldbook.plans.registry import fill, query, values
-from fieldbook.sources.tables import RESOURCES, TAXONOMY_SQL, resources, table, taxonomy
+from fieldbook.sources.tables import CONTACTS, RESOURCES, TAXONOMY_SQL, contacts, resources, table, taxonomy
 
 CELLS = [(-1, "=2+2"), (-2, "+cmd"), (-3, "-10+20"), (-4, "@SUM(A1:A2)"), (-5, "   =1+1"), (-6, "safe text"), (-7, '=HYPERLINK("https://bad")'), (-8, None),
          (-9, "<img src=x onerror=\"alert(1)\">&'")]
@@ -47,10 +49,76 @@ def hash_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id").distinct().withColumn("key", F.sha2(F.concat_ws(":", F.lit("pepper"), F.col("user_id").cast("string")), 256))
 
 
-@query(f"""with {RESOURCES} select id, '{{"id":' || id || ',"name":"' || name || '","priority":' || priority || case when email is null then '' else ',"email":"' || email || '"' end || '}}' as line from resources""")
+BACKUP = ["id", "name", "acronym", "subcategory", "tags", "category", "priority", "published", "verified", "phone_raw", "email", "website", "price"]
+JSON_TEXT = "'\"' || replace({0}, '\"', '\\\"') || '\"'"
+
+
+def json_sql(columns: list[str]) -> str:
+    """An object of the columns that are not null, as Spark writes it."""
+    plain = {"id", "priority", "published", "verified"}
+    said = lambda c: f"{c}::varchar" if c in plain else "case when price = floor(price) then price::bigint || '.0' else price::double::varchar end" if c == "price" else fill(JSON_TEXT, c)
+    return "'{' || concat_ws(',', " + ", ".join(f"case when {c} is not null then '\"{c}\":' || {said(c)} end" for c in columns) + ") || '}'"
+
+
+@query(f"with {RESOURCES} select id, {json_sql(BACKUP)} as line from resources")
 def export_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lossless JSON lines; a writer sorts them by priority and name."""
-    return resources(spark, sf_dir).select("id", F.to_json(F.struct("id", "name", "priority", "email")).alias("line"))
+    """Every field of every record as a JSON line, by priority and name; reading the lines back gives the same records."""
+    rows = resources(spark, sf_dir).orderBy(F.col("priority").desc(), "name", "id")
+    return rows.select("id", F.to_json(F.struct(*[F.col(c).cast("double").alias(c) if c == "price" else F.col(c) for c in BACKUP])).alias("line"))
+
+
+HEAD = ["Name", "Category", "Phone", "Email"]
+
+
+@query(f"""with {RESOURCES}, {TAXONOMY_SQL}, l as (select resources.*, coalesce(short_name, category) as label from resources left join taxonomy on slug = category)
+select -1 as id, '{','.join(HEAD)}' || chr(13) || chr(10) as line union all
+select id, {fill(CELL, 'name')} || ',' || {fill(CELL, 'label')} || ',' || {fill(CELL, 'phone_raw')} || ',' || {fill(CELL, 'email')} || chr(13) || chr(10) from l where published""")
+def csv_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole CSV document: its head and a line per record, each with its line end; end to end they are the file."""
+    head = spark.createDataFrame([(-1, *HEAD)], "id long, name string, label string, phone_raw string, email string")
+    rows = resources(spark, sf_dir).where(F.col("published")).join(taxonomy(spark), F.col("slug") == F.col("category"), "left")
+    rows = head.union(rows.select("id", "name", F.coalesce("short_name", "category"), "phone_raw", "email"))
+    return rows.select("id", F.concat(encode.csv_row(*map(F.col, ("name", "label", "phone_raw", "email"))), F.lit("\r\n")).alias("line"))
+
+
+# fixed values: what stands before and after a printed document's cards, but for its style
+OPENING = '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Saved &amp; sorted</title></head><body><h1>Saved &amp; sorted</h1>'
+CLOSING = "</body></html>"
+FIELD = "case when coalesce({1}, '') <> '' then '<div class=\"field\"><span class=\"label\">{0}:</span> <span class=\"value\">' || " + fill(HTML, "{1}") + " || '</span></div>' else '' end"
+CARD = ("'<section class=\"card\"><h2 class=\"card-title\">' || k || '. ' || " + fill(HTML, "name") + " || '</h2><div class=\"acronym\">(' || " + fill(HTML, "acronym") + " || ')</div>' || "
+        + " || ".join(fill(FIELD, label, c) for label, c in (("Category", "category"), ("Phone", "phone_raw"), ("Email", "email"), ("Website", "website"), ("Tags", "tags"))) + " || '</section>'")
+
+
+@query(f"""with {RESOURCES}, p as (select *, row_number() over (order by priority desc, name, id) as k from resources where published)
+select 0 as place, '{OPENING}' as part union all select k, {CARD} from p where k <= 500 union all select 501, '{CLOSING}'""")
+def html_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A printed list of the first 500 records: its beginning, an escaped card each, its end; in order they are the document."""
+    order = (F.col("priority").desc(), F.col("name"), F.col("id"))
+    first = resources(spark, sf_dir).where(F.col("published")).orderBy(*order).limit(500)
+    first = first.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # a printed list
+    fields = [encode.html_field(label, F.col(c)) for label, c in (("Category", "category"), ("Phone", "phone_raw"), ("Email", "email"), ("Website", "website"), ("Tags", "tags"))]
+    card = F.concat(F.lit('<section class="card"><h2 class="card-title">'), F.col("place").cast("string"), F.lit(". "), encode.html(F.col("name")), F.lit("</h2>"),
+                    F.when(F.coalesce("acronym", F.lit("")) != "", F.concat(F.lit('<div class="acronym">('), encode.html(F.col("acronym")), F.lit(")</div>"))).otherwise(""), *fields, F.lit("</section>"))
+    return first.select("place", card.alias("part")).union(spark.createDataFrame([(0, OPENING), (501, CLOSING)], "place long, part string"))
+
+
+@query(f"""with {RESOURCES}, {TAXONOMY_SQL} select id, name, coalesce(short_name, category) as category_label, phone_raw, email,
+  regexp_replace(regexp_replace(url_decode(website), '(?i)^https?://', ''), '/$', '') as website_display, priority, verified from resources left join taxonomy on slug = category""")
+def verification_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records to be verified, by priority and name, with labels and links as they are shown."""
+    rows = resources(spark, sf_dir).join(taxonomy(spark), F.col("slug") == F.col("category"), "left").orderBy(F.col("priority").desc(), "name", "id")
+    shown = F.when(F.col("website").isNotNull(), links.display(F.col("website")))
+    return rows.select("id", "name", F.coalesce("short_name", "category").alias("category_label"), "phone_raw", "email", shown.alias("website_display"), "priority", "verified")
+
+
+@query(f"""with {CONTACTS}, m as (select coalesce(method, 'unspecified') as method, count(*) as n from contacts group by all)
+select method, n, {fill(SHARE, 'n', 'sum(n) over ()')} as percent, method || ',' || n || ',' || {fill(SHARE, 'n', 'sum(n) over ()')} || '%' as line from m""")
+def dashboard_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard's summary as CSV lines: contacts by method with their shares; methods are few."""
+    counts = contacts(spark, sf_dir).groupBy(F.coalesce("method", F.lit("unspecified")).alias("method")).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all"))))  # one row
+    percent = share(F.col("n"), F.col("all"))
+    return whole.select("method", "n", percent.alias("percent"), F.concat(encode.csv_row(F.col("method"), F.col("n")), F.lit(","), percent.cast("string"), F.lit("%")).alias("line"))
 
 
 @query(f"""with {RESOURCES}, {TAXONOMY_SQL}, p as (select resources.*, coalesce(short_name, category) as label, row_number() over (order by priority desc, name, id) as k, count(*) over () as n from resources
@@ -86,8 +154,25 @@ def maps_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.when(F.trim("p_name") != "", link).alias("link"))
 
 
-@query()
+TABLES = ("region", "nation", "supplier", "customer")
+DIGEST = "sum(('0x' || left(sha256(concat_ws('|', {0})), 12))::bigint)::varchar"
+KEYS = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey"], "customer": ["c_custkey", "c_name", "c_mktsegment"]}
+#: Imports that are known, as (digest, rows): that of the regions, and one of the nations whose number of rows was another.
+KNOWN = [("541930117158200", 5), ("3369698715101110", 24)]
+
+
+@query(" union all ".join(f"select '{t}' as dataset, count(*) as n, {fill(DIGEST, ', '.join(KEYS[t]))} as digest, ({fill(DIGEST, ', '.join(KEYS[t]))}, count(*)) in ({', '.join(map(str, KNOWN))}) as known from {t}" for t in TABLES))
 def dataset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of each Parquet file of the table, read as bytes, and whether an import of it is already known."""
-    files = spark.read.format("binaryFile").load(f"{sf_dir}/region.parquet").where(F.col("path").endswith(".parquet"))
-    return files.select(F.col("length"), F.sha2("content", 256).alias("sha256"))
+    """Digest of each dataset, whatever the order of its rows, and whether an import with it and as many rows is known.
+
+    Row digests are added up, so a dataset is combined where it lies; a table of known imports is compared by digest and number.
+    """
+    def digest(t: str) -> DataFrame:
+        row = F.conv(F.left(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in KEYS[t]]), 256), F.lit(12)), 16, 10).cast("decimal(38,0)")
+        return table(spark, sf_dir, t).agg(F.lit(t).alias("dataset"), F.count(F.lit(1)).alias("n"), F.sum(row).cast("string").alias("digest"))
+
+    found = digest(TABLES[0])
+    for t in TABLES[1:]:
+        found = found.union(digest(t))
+    known = F.broadcast(spark.createDataFrame(KNOWN, "digest string, n long").withColumn("known", F.lit(True)))  # a row per import
+    return found.join(known, ["digest", "n"], "left").select("dataset", "n", "digest", F.coalesce("known", F.lit(False)).alias("known"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fieldbook.functions.patterns import SPACE
 from fieldbook.operators import search
 from fieldbook.plans.registry import query
-from fieldbook.sources.tables import RESOURCES, resources, table
+from fieldbook.sources.tables import RESOURCES, resources, spread, table
 
 ASKED = "Onmant of erster rapport 3 src3"
 PARTS = "small rign Brand#2 hotline"
@@ -18,7 +18,7 @@ ENTRIES = """entries as (select doc_id as id, left(text, 60) as name, text as de
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as directory entries."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"), F.left("text", F.lit(60)).alias("name"), F.col("text").alias("description"), F.col("source").alias("category"),
         F.col("lang").alias("subcategory"), (F.col("n_chars") % 3).cast("int").alias("priority"))
 
@@ -74,7 +74,7 @@ def search_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select doc_id, len(t) as n_tokens, sha256(array_to_string(t, ' ')) as sha256 from (select doc_id,
   list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9{SPACE[1:]}', ' ', 'g'), '{SPACE}+'), lambda w: w <> '') as t from documents)""")
 def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", search.tokens(F.col("text")).alias("t"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", search.tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("sha256"))
 
 

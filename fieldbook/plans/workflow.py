@@ -134,17 +134,6 @@ def compare_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toggled(spark, sf_dir, 3, False).select("user_id", F.array_join(items, ",").alias("compared"))
 
 
-@query(f"""with {CONTACTS}, legacy as (select c_custkey as resource_id, date '2024-01-01' + (c_custkey % 40)::int as day from customer where c_custkey < 150)
-select resource_id, day, n from (select resource_id, day, count(*) as n from contacts group by all) union all
-select resource_id, day, 0 from legacy where not exists (select 1 from contacts c where c.resource_id = legacy.resource_id and c.day = legacy.day)""")
-def legacy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates of an older log are added where the resource has no entry on that day."""
-    now = contacts(spark, sf_dir).groupBy("resource_id", "day").agg(F.count(F.lit(1)).alias("n"))
-    legacy = table(spark, sf_dir, "customer").where("c_custkey < 150").select(
-        F.col("c_custkey").alias("resource_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 40).cast("int")).alias("day"))
-    return now.unionByName(legacy.join(now, ["resource_id", "day"], "left_anti").withColumn("n", F.lit(0).cast("long")))
-
-
 @query("""with m as (select conv_id, unnest([turn % 20, (turn + conv_id) % 20]) as item from conversations) select conv_id, string_agg(distinct item, ',' order by item) as items from m where item <> 3 group by conv_id""")
 def collection_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of a collection after adding two items a turn and removing item 3; a set of at most 20."""

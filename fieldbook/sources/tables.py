@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many tasks as there are cores, if they are read in fewer: for costly work on texts.
+
+    Such a table is a few row groups; one of many splits is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def taxonomy(spark: SparkSession) -> DataFrame:
     """13 rows, so always broadcast."""
     return F.broadcast(spark.createDataFrame([(i, *row) for i, row in enumerate(TAXONOMY)], "position int, slug string, short_name string"))
