@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from fieldbook.functions.text import blank_to_null, strip
+from fieldbook.functions.text import blank_to_null, once, strip
 
 # fixed values: names that never leave the machine, and the reasons of the off-topic rules as (reason, hosts, path pattern)
 BLOCKED_HOSTS = ("localhost", "ip6-localhost", "ip6-loopback", "metadata.google.internal", "metadata")
@@ -30,24 +30,71 @@ STATUSES = ("live", "dead", "off-topic", "uncertain", "invalid")
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 
 
+def _number(part: Column) -> Column:
+    """A part of a numeric host, as hexadecimal, octal or decimal; null if it is none."""
+    hexadecimal = F.coalesce(F.conv(F.substr(part, F.lit(3)), 16, 10), F.lit("0"))
+    return (F.when(part.rlike("^0x[0-9a-f]*$"), hexadecimal).when(part.rlike("^0[0-7]+$"), F.conv(part, 8, 10))
+            .when(part.rlike("^(?:0|[1-9][0-9]*)$"), part)).try_cast("long")
+
+
+def ipv4(host: Column) -> Column:
+    """The 32-bit address of a host whose last part is a number; -1 if it is no address, null if the host is a name.
+
+    As browsers read it: one to four parts, each in one of three bases, the last one filling the bytes that are left.
+    """
+    def address(parts: Column) -> Column:
+        values, n = F.transform(parts, lambda p: _number(p)), F.size(parts)
+        last = F.element_at(values, -1)
+        head = F.slice(values, F.lit(1), F.greatest(n - 1, F.lit(0)))
+        fine = (n <= 4) & F.forall(values, lambda v: v.isNotNull()) & F.forall(head, lambda v: v <= 255) & (last < F.pow(F.lit(256.0), 5 - n))
+        high = F.aggregate(F.transform(head, lambda v, i: (v * F.pow(F.lit(256.0), 3 - i)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+        return F.when(F.element_at(parts, -1).rlike("^(?:[0-9]+|0x[0-9a-f]*)$"), F.when(F.coalesce(fine, F.lit(False)), high + last).otherwise(F.lit(-1).cast("long")))
+
+    return once(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), address)
+
+
+def _dotted(address: Column) -> Column:
+    return F.concat_ws(".", *[(F.shiftright(address, k).bitwiseAND(255)).cast("string") for k in (24, 16, 8, 0)])
+
+
+def _segments(path: Column) -> Column:
+    """A path without its dot segments: `.` goes, `..` takes the one before with it."""
+    here, up = r"^(?:\.|%2[eE])$", r"^(?:\.|%2[eE]){2}$"
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, s: F.when(s.rlike(up), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+                       .when(s.rlike(here), done).otherwise(F.concat(done, F.array(s))))
+    ends = F.element_at(parts, -1).rlike(r"^(?:\.|%2[eE]){1,2}$")
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, F.when(ends, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/"))
+
+
+def _ascii(text: Column) -> Column:
+    """Characters outside ASCII percent-encoded as UTF-8."""
+    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.url_encode(c))), "")
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(each)
+
+
 def normalize(raw: Column) -> Column:
-    """https by default, lower-case scheme and host, no default port, a path; a bare host has no slash at its end.
+    """https by default, lower-case scheme and host, no default port, a path without dot segments; a bare host has no slash at its end.
 
-    The common shape is handled (ASCII host, http or https, no dot segments); anything that is no such link is null.
+    Numeric hosts become dotted addresses and other characters than ASCII in the path are encoded.  Anything that is no
+    http link with an ASCII host is null.
     """
     text = strip(raw)
     whole = F.when(text.rlike("(?i)^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
     scheme = F.lower(F.regexp_extract(whole, r"(?i)^(https?)://", 1))
-    place = F.regexp_extract(whole, r"(?i)^https?://((?:[^/?#@]*@)?[^/?#]*)", 1)
-    host = F.lower(place)
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
-    host = F.regexp_replace(host, ":$", "")
+    place = F.lower(F.regexp_extract(whole, r"(?i)^https?://((?:[^/?#@]*@)?[^/?#]*)", 1))
+    place = F.when(scheme == "http", F.regexp_replace(place, ":80$", "")).otherwise(F.regexp_replace(place, ":443$", ""))
+    place = F.regexp_replace(place, ":$", "")
+    name = F.regexp_extract(place, r"^(?:[^@]*@)?([^@]*?)(?::\d+)?$", 1)
+    number = ipv4(name)
+    authority = F.when(number >= 0, F.concat(F.regexp_extract(place, "^((?:[^@]*@)?)", 1), _dotted(number), F.regexp_extract(place, r"(:\d+)?$", 1))).otherwise(place)
     rest = F.regexp_replace(F.regexp_extract(whole, r"(?i)^https?://[^/?#]*(.*)$", 1), " ", "%20")
-    tail = F.when(rest == "/", F.lit("")).when(rest.rlike(r"^[?]"), F.concat(F.lit("/"), rest)).otherwise(rest)
-    # a fragment alone keeps no slash of its own: the address ends with the fragment
-    tail = F.when(tail.startswith("#"), F.concat(F.lit("/"), tail)).otherwise(tail)
-    fine = (text != "") & ~text.startswith("mailto:") & host.rlike(r"^(?:[^@]*@)?(?:\[[0-9a-f:.]+\]|[a-z0-9._\-]+)(?::\d+)?$")
-    return F.when(fine, F.concat(scheme, F.lit("://"), host, tail))
+    path, tail = F.regexp_extract(rest, "^([^?#]*)", 1), F.regexp_extract(rest, "^[^?#]*(.*)$", 1)
+    path = F.when(path.rlike(r"/(?:\.|%2[eE])"), _segments(path)).otherwise(path)
+    rest = _ascii(F.concat(path, tail))
+    end = F.when(rest == "/", F.lit("")).when(rest.rlike("^[?#]"), F.concat(F.lit("/"), rest)).otherwise(rest)
+    fine = (text != "") & ~text.startswith("mailto:") & place.rlike(r"^(?:[^@]*@)?(?:\[[0-9a-f:.]+\]|[a-z0-9._\-]+)(?::\d+)?$") & ((number >= 0) | number.isNull())
+    return F.when(fine, F.concat(scheme, F.lit("://"), authority, end))
 
 
 def display(url: Column) -> Column:
@@ -64,21 +111,23 @@ def host(url: Column) -> Column:
 
 def _private(h: Column) -> Column:
     """Loopback, link-local, private, carrier, multicast and reserved addresses, also mapped into IPv6."""
-    v4 = F.regexp_replace(h, "^::ffff:", "")
-    byte = lambda k: F.regexp_extract(v4, r"^(\d+)\.(\d+)\.\d+\.\d+$", k).try_cast("int")
-    a, b = byte(1), byte(2)
-    low = F.coalesce(a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
-                     | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)), F.lit(False))
-    return low | (h.contains(":") & (h.isin("::1", "::") | h.rlike("^(?:fe80|fc|fd|ff)")))
+    def low(address: Column) -> Column:
+        a, b = F.shiftright(address, 24), F.shiftright(address, 16).bitwiseAND(255)
+        return F.coalesce(a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
+                          | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)), F.lit(False))
+
+    return once(ipv4(F.regexp_replace(h, "^::ffff:", "")), low) | (h.contains(":") & (h.isin("::1", "::") | h.rlike("^(?:fe80|fc|fd|ff)")))
 
 
 def safety(url: Column) -> Column:
     """ok, or why a link must not be fetched."""
-    h = host(url)
-    return (F.when(url.isNull() | ~url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), "invalid-url")
-            .when(~url.rlike("(?i)^https?:"), "scheme-not-allowed").when(h == "", "invalid-url")
-            .when(F.regexp_extract(url, _AUTHORITY, 1).contains("@"), "credentials-in-url")
-            .when(h.isin(*BLOCKED_HOSTS), "blocked-host").when(_private(h), "private-ip").otherwise("ok"))
+    def judge(h: Column) -> Column:
+        return (F.when(url.isNull() | ~url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), "invalid-url")
+                .when(~url.rlike("(?i)^https?:"), "scheme-not-allowed").when(h == "", "invalid-url").when(~h.contains(":") & (ipv4(h) == -1), "invalid-url")
+                .when(F.regexp_extract(url, _AUTHORITY, 1).contains("@"), "credentials-in-url")
+                .when(h.isin(*BLOCKED_HOSTS), "blocked-host").when(_private(h), "private-ip").otherwise("ok"))
+
+    return once(host(url), judge)
 
 
 def off_topic(url: Column) -> Column:

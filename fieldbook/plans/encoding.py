@@ -11,8 +11,7 @@ from fieldbook.plans.facets import SHARE, share
 from fieldbook.plans.registry import fill, query, values
 from fieldbook.sources.tables import CONTACTS, RESOURCES, TAXONOMY_SQL, contacts, resources, table, taxonomy
 
-CELLS = [(-1, "=2+2"), (-2, "+cmd"), (-3, "-10+20"), (-4, "@SUM(A1:A2)"), (-5, "   =1+1"), (-6, "safe text"), (-7, '=HYPERLINK("https://bad")'), (-8, None),
-         (-9, "<img src=x onerror=\"alert(1)\">&'")]
+CELLS = [(-1, "=A1*3"), (-2, "+44 20"), (-3, "-5"), (-4, "@now"), (-5, "\t =1"), (-6, "plain"), (-7, '=LINK("x", "y")'), (-8, None), (-9, "<b class='x'>&\"</b>")]
 TEXTS = f"texts as (select doc_id, text from documents union all select * from {values(CELLS)})"
 SAFE = f"case when regexp_matches({{0}}, '^{SPACE}*[=+\\-@]') then '''' || {{0}} else coalesce({{0}}, '') end"
 CELL = "case when regexp_matches(" + SAFE + ", '[\",\\r\\n]') then '\"' || replace(" + SAFE + ", '\"', '\"\"') || '\"' else " + SAFE + " end"

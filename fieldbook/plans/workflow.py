@@ -93,8 +93,11 @@ def audit_from_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 select user_id, event_id, k <= 10 as kept from r""")
 def retention_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten newest runs of each key stay; the others are named for deletion."""
-    order = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return table(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(order) <= 10).alias("kept"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    order = F.struct("ts", "event_id")
+    newest = changes.newest(rows, ["user_id"], [order.desc()], 10)  # ranks stop at ten within each task, so a hot key is no burden
+    bound = newest.groupBy("user_id").agg(F.min(order).alias("bound"))
+    return rows.join(bound, "user_id").select("user_id", "event_id", (order >= F.col("bound")).alias("kept"))
 
 
 @query(f"with {CONTACTS} select resource_id, id from (select *, row_number() over (partition by resource_id order by ts desc, id) as k from contacts) where k <= 50")
@@ -117,17 +120,21 @@ def _toggled(spark: SparkSession, sf_dir: str, most: int, evict: bool) -> DataFr
     return toggles.replay(table(spark, sf_dir, "events").select("user_id", item, "ts", "event_id"), "user_id", "item", ["ts", "event_id"], most, evict)
 
 
-@query("""with t as (select user_id, (json_extract_string(props, '$.k'))::bigint % 50 as item, count(*) as n, max(ts) as last_at from events group by all)
-select user_id, string_agg(item, ',' order by last_at desc, item) as saved from t where n % 2 = 1 group by user_id""")
-def toggle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved items after all toggles, newest first; beyond 50 the oldest is evicted.
+def _toggled_sql(put: str, said: str, name: str) -> str:
+    """All toggles of a user in order, with the list so far as the state of a recursion."""
+    step = f"case when list_contains(s, item) then list_filter(s, lambda x: x <> item) else {put} end"
+    return f"""with recursive e as (select user_id, (json_extract_string(props, '$.k'))::bigint as item, row_number() over (partition by user_id order by ts, event_id) as k from events),
+f as (select user_id, k, [item] as s from e where k = 1 union all select e.user_id, e.k, {step} from f join e on e.user_id = f.user_id and e.k = f.k + 1)
+select user_id, array_to_string({said}, ',') as {name} from f semi join (select user_id, max(k) as k from e group by user_id) l using (user_id, k) where len(s) > 0"""
+
 
-    The SQL still folds items modulo 50 and knows no cap, so results differ.
-    """
+@query(_toggled_sql("list_prepend(item, s)[1:50]", "s", "saved"))
+def toggle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved items after all toggles, newest first; beyond 50 the oldest is evicted."""
     return _toggled(spark, sf_dir, 50, True).select("user_id", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("saved"))
 
 
-@query()
+@query(_toggled_sql("case when len(s) < 3 then list_prepend(item, s) else s end", "list_reverse(s)", "compared"))
 def compare_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compared items after all toggles, oldest first; with 3 there, another is ignored."""
     items = F.transform(F.reverse("items"), lambda i: i.cast("string"))
