@@ -19,6 +19,18 @@ WEIGHTS = {"name": 5.0, "acronym": 8.0, "tags": 4.0, "description": 2.0, "catego
            "phone_normalized": 3.0, "email": 2.0, "website": 2.0, "source_note": 1.5}
 
 
+def parameters(q: str = "", limit: int = 24, offset: int = 0, most: int = 1000) -> tuple[str, int, int]:
+    """Checked parameters of a search: at most 200 characters, 1 to `most` rows (100 for administrators), an offset up to 100,000."""
+    q = q.strip()
+    if len(q) > 200:
+        raise ValueError("a query has 200 characters at most")
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit is 1 to {most}")
+    if not 0 <= offset <= 100_000:
+        raise ValueError("offset is 0 to 100000")
+    return q, limit, offset
+
+
 def query_tokens(query: str) -> list[str]:
     """Tokens of a query that count; one that is said twice counts twice."""
     words = re.sub(r"[^a-z0-9\s]", " ", query.lower()).split()

@@ -1,0 +1,22 @@
+"""Readers of imports, with limits that are checked before anything is parsed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# fixed values: the most bytes and records of an import
+MOST_BYTES, MOST_RECORDS = 8 * 1024 * 1024, 1000
+
+
+def import_lines(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES, most_records: int | None = MOST_RECORDS) -> DataFrame:
+    """The JSON lines under a path, as `line`; a ValueError if the files are longer, or the records more, than allowed.
+
+    Lengths come from the files' metadata: no file is opened to find that it is too long.
+    """
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).head()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes are more than the {most_bytes} allowed")
+    lines = spark.read.text(path).select(F.col("value").alias("line")).where("trim(line) <> ''")
+    if most_records is not None and not 1 <= lines.limit(most_records + 1).count() <= most_records:
+        raise ValueError(f"an import has 1 to {most_records} records")
+    return lines
