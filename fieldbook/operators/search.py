@@ -69,12 +69,16 @@ def score(rows: DataFrame, query: str) -> DataFrame:
 
 
 def search(rows: DataFrame, query: str, limit: int, offset: int = 0) -> DataFrame:
-    """A page of the ranking; a query without tokens is all rows by name."""
+    """A page of the ranking; a query without tokens is all rows by name.
+
+    Rows that score nothing rank last, so they are dropped after paging: a filter before it would be pushed below the
+    projections, and the words of every field would be cut again for each token.
+    """
     if not query_tokens(query):
         ordered = rows.withColumns({"score": F.lit(0.0), "matched": F.array().cast("array<string>")}).orderBy(F.collate("name", "UNICODE"), "id")
-    else:
-        ordered = score(rows, query).where("score > 0").orderBy(F.col("score").desc(), F.col("priority").desc(), F.collate("name", "UNICODE"), "id")
-    return ordered.offset(offset).limit(limit)
+        return ordered.offset(offset).limit(limit)
+    ordered = score(rows, query).orderBy(F.col("score").desc(), F.col("priority").desc(), F.collate("name", "UNICODE"), "id")
+    return ordered.offset(offset).limit(limit).where("score > 0")
 
 
 def highlight(text: Column, query: str) -> Column:

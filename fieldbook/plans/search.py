@@ -49,8 +49,8 @@ SHORT = f"with {RESOURCES}, {scored_sql('(select * from resources where publishe
 @query(LONG + "select id, score, priority, matched from r where score > 0 order by score desc, priority desc, id limit 24")
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page over whole documents.  Names are texts here, so ties go by id."""
-    found = search.score(entries(spark, sf_dir), ASKED).where("score > 0")
-    return found.orderBy(F.col("score").desc(), F.col("priority").desc(), "id").limit(24).select("id", "score", "priority", F.array_join("matched", ",").alias("matched"))
+    found = search.score(entries(spark, sf_dir), ASKED)
+    return found.orderBy(F.col("score").desc(), F.col("priority").desc(), "id").limit(24).where("score > 0").select("id", "score", "priority", F.array_join("matched", ",").alias("matched"))
 
 
 @query(SHORT + "select id, name, score, matched from r where score > 0 order by score desc, priority desc, name, id offset 24 limit 24")
@@ -62,7 +62,8 @@ def search_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SHORT + "select count(*) as total, round(max(score), 6) as best from r where score > 0")
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.score(resources(spark, sf_dir).where("published"), PARTS).where("score > 0").agg(F.count(F.lit(1)).alias("total"), F.max("score").alias("best"))
+    scored = search.score(resources(spark, sf_dir).where("published"), PARTS)
+    return scored.agg(F.count_if(F.col("score") > 0).alias("total"), F.max(F.when(F.col("score") > 0, F.col("score"))).alias("best"))
 
 
 @query(f"with {RESOURCES} select id, name from resources where published order by name, id limit 24")
