@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldbook.llm import textops
 from fieldbook.llm.components import components
-from fieldbook.llm.job import bitmap, cut, in_batches, marked
+from fieldbook.llm.job import bitmap, cut, in_batches, marked, released
 
 WIDTH = 5
 PERCENT = 80
@@ -99,7 +99,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(SAMPLE * 1_000_000)).select("text")
     counted = in_batches(few, task, "token long").groupBy("token").count().where(F.col("count") >= OFTEN)
-    rows = counted.orderBy(F.col("count").desc(), "token").limit(MOST).select("token").collect()
+    rows = released(counted.orderBy(F.col("count").desc(), "token").limit(MOST).select("token")).collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 

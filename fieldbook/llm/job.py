@@ -46,19 +46,35 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/fieldbook-checkpoints"
 
 
+#: Spark deletes the shuffle files of a query planned under this setting when the query ends; otherwise they stay until
+#: the driver happens to collect garbage, and a job of many queries holds the files of all of them.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def released(df: DataFrame) -> DataFrame:
+    """df as a query of its own, which leaves no shuffle files behind; for one action only, as a second would shuffle again."""
+    conf = df.sparkSession.conf
+    now = conf.get(RELEASE, None)
+    conf.set(RELEASE, "true")
+    try:
+        return df.select("*")
+    finally:
+        conf.set(RELEASE, now) if now else conf.unset(RELEASE)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise into the shared folder, so that later stages neither recompute nor lose it."""
+    """Materialise into the shared folder, so that later stages neither recompute nor lose it; its shuffle files go."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return released(df).checkpoint(eager=True)
 
 
 def bitmap(ids: DataFrame, columns: list[str], bits: int) -> np.ndarray:
     """Bits of the hashed ids: bits / 8 bytes whatever their number, so it may be broadcast."""
     spot = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1  # buckets and positions begin at 1
-    rows = (ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect())
+    spots = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
+    rows = released(spots.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))).collect()
     out = np.zeros(bits // 8 + 8192, dtype=np.uint8)
     for r in rows:
         out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
