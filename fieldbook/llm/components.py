@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fieldbook.llm.job import cut, released
+from fieldbook.llm.job import beside, cut, released
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -12,7 +12,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs the neighbours of every node on the smallest of them, first the larger ones, then the smaller
     ones.  Links only shrink to stars, so rounds grow with the logarithm of the longest path; only two columns of ids
-    move, and sums per node are combined before the shuffle.
+    move, and sums per node are combined before the shuffle.  The larger neighbours of a hub are dealt over many tasks.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -23,8 +23,8 @@ def components(links: DataFrame) -> DataFrame:
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         before = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = (beside(both, ["a"], ["b"], F.min("b"), F.min, "least").where("b > a")
+                 .select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a")
         small = hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldbook.llm import textops
 from fieldbook.llm.components import components
-from fieldbook.llm.job import bitmap, cut, in_batches, marked, released
+from fieldbook.llm.job import beside, bitmap, cut, in_batches, marked, released
 
 WIDTH = 5
 PERCENT = 80
@@ -231,7 +231,8 @@ def stars(marks: DataFrame) -> DataFrame:
     near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT)
     asked = slots.join(heads, ["k", "key"]).where((F.col("doc_id") != F.col("cell")) & near).select("doc_id", "cell").distinct()
     blocks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    queries = (asked.join(blocks, "cell").select("doc_id", "cell", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), F.lit(1).alias("asks")))
+    dealt = beside(asked, ["cell"], ["doc_id"], F.count(F.lit(1)), F.sum, "size").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+    queries = (dealt.select("doc_id", "cell", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), F.lit(1).alias("asks")))
     return queries.unionByName(blocks.select(F.col("cell").alias("doc_id"), "cell", _each(F.col("blocks")).alias("block"), F.lit(0).alias("asks")))
 
 

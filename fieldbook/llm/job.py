@@ -85,6 +85,22 @@ def marked(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
     return ((bits[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1).astype(bool)
 
 
+#: The parts into which `beside` deals the rows of a key.
+PARTS = 1024
+
+
+def beside(df: DataFrame, keys: list[str], spread: list[str], value: Column, merge: Callable, name: str) -> DataFrame:
+    """Adds `name`, an aggregate over all rows with the same keys, to each row, and never gathers a key's rows in one task.
+
+    A key's rows are dealt by the hash of `spread` into PARTS parts; `value` aggregates a part and `merge` the values of
+    a key's parts, of which there are PARTS at most, and rows meet the result by key and part.  The keys are not null.
+    """
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(PARTS)))
+    parts = dealt.groupBy(*keys, "_part").agg(value.alias("_value"))
+    whole = parts.select(*keys, "_part", merge("_value").over(Window.partitionBy(*keys)).alias(name))
+    return dealt.join(whole, [*keys, "_part"]).drop("_part")
+
+
 def before(df: DataFrame, group: list[str], order: list[str], value: str, name: str, chunk: Column) -> DataFrame:
     """Adds `name`: the sum of `value` over the rows of the same group that come earlier by (chunk, order).
 

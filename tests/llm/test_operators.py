@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from compare import connect, same
 from fieldbook.llm import chat, counting, jaccard, language, lines, mixing, packing, queries, simhash, textops, topk, url_filter
-from fieldbook.llm.job import tokenizer_file
+from fieldbook.llm.components import components
+from fieldbook.llm.job import beside, tokenizer_file
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -437,6 +438,34 @@ def shingle_set(t):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
+def test_components_with_hub(spark):
+    """A hub with most of the links, random links and a long path, against union by smallest node."""
+    rnd = random.Random(1)
+    links = [(0, i) for i in range(1, 2000)] + [(rnd.randrange(5000, 7000), rnd.randrange(5000, 7000)) for _ in range(1200)] + [(i, i + 1) for i in range(10000, 10040)]
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {v: find(v) for a, b in links if a != b for v in (a, b)}
+    assert {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_beside(spark):
+    """An aggregate over all rows of a key, for a key with more rows than parts, repeated rows and no rows."""
+    rows = [(0, i) for i in range(3000)] + [(1, 7), (1, 7), (2, 5)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    got = beside(df, ["k"], ["v"], F.count(F.lit(1)), F.sum, "n").collect()
+    assert sorted((r["k"], r["v"], r["n"]) for r in got) == sorted((k, v, {0: 3000, 1: 2, 2: 1}[k]) for k, v in rows)
+    assert beside(df.where("k > 5"), ["k"], ["v"], F.min("v"), F.min, "m").count() == 0
+
+
 def test_jaccard(spark, small, empty):
     sets = {i: shingle_set(t) for i, t, *_ in corpus()}
     root = {i: i for i in sets}
