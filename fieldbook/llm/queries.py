@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldbook.llm import chat, counting, jaccard, language, lines, mixing, packing, simhash, topk, url_filter
+from fieldbook.llm import chat, counting, filter_audit, jaccard, language, lines, mixing, near_bytes, packing, periodic, simhash, topk, url_filter
 from fieldbook.llm.job import tokenizer_file
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -63,9 +63,29 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.labelled(filter_audit.text_failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(rows, "part", list("ABCDE"), {"good_lost": "good", "toxic_lost": "toxic"})
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(periodic.planted(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("finer"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return (found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.before")).alias("start"), "longest.length", (-F.col("longest.finer")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.finer")).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_bytes.similar(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_chat_format, op4_simhash, op5_packing, op6_token_counts,
-                                    op7_topk_search, op8_jaccard_join, op9_mixing, op10_url_filter)}
+                                    op7_topk_search, op8_jaccard_join, op9_mixing, op10_url_filter, op11_filter_audit, op12_periodic_runs,
+                                    op13_simhash_near_dedup)}
 
 
 TOPK_SQL = """
@@ -114,5 +134,31 @@ from k
 """
 
 
+AUDIT_SQL = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words from d),
+marks as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
+f as (select part, (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as cell, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+  from w left join marks using (doc_id)),
+cells as (select part, cell, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by all),
+l(x, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits from l a, l b, l c, l d, l e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select filter_order, s::int as step, substr(filter_order, s, 1) as filter, bits[s] as own, coalesce(list_sum(bits[1 : s - 1]), 0)::int as earlier
+  from orders, range(1, 6) r(s)),
+counted as (select part, filter_order, step, filter,
+    coalesce(sum(n) filter (cell & (own | earlier) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (cell & own > 0 and cell & earlier = 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (cell & own > 0 and cell & earlier > 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (cell = own), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (cell & own > 0 and cell & earlier = 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (cell & own > 0 and cell & earlier = 0), 0)::bigint as toxic_lost
+  from cells, steps group by all)
+select *, (sum(removed) over (partition by part, filter))::bigint as shapley from counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk_search": TOPK_SQL, "op9_mixing": MIXING_SQL, "op10_url_filter": URL_FILTER_SQL}
+    return {"op7_topk_search": TOPK_SQL, "op9_mixing": MIXING_SQL, "op10_url_filter": URL_FILTER_SQL, "op11_filter_audit": AUDIT_SQL}
