@@ -4,11 +4,15 @@ Targets: each source's share of all words by weight, at most `most` times its ow
 is shared among the others by weight.  With sources sorted by most * size / weight the capped ones are a prefix, so
 running sums over the (small) table of sources solve it without iteration.
 
-Copies: within a source every document has the same expected number of copies, target / size.  Documents are laid out
-by size, their expected copies are added up, one random offset per source is added, and a document is emitted once for
-each integer boundary that its stretch crosses.  Expected copies are kept in fixed point, so reruns and other engines
-agree to the last copy, and no document is emitted more than `most` times.  As documents lie in order of size, what a
-source takes differs from its target by little more than its largest documents' sizes, whatever the offset.
+Copies: within a source every document's expected copies are target / size, but for the `HEAD` largest ones.  These,
+from the largest down, get the whole number of copies (0 to `most`) that brings the words taken so far nearest to what
+their sizes call for, so the words by which a document misses are made up by smaller ones; what is left over at the end
+is spread over the expected copies of all others.  Documents are laid out by size, their expected copies are added up,
+one random offset per source is added, and a document is emitted once for each integer boundary that its stretch
+crosses: a whole number of expected copies gives just these.  Expected copies are kept in fixed point, so reruns and
+other engines agree to the last copy, and no document is emitted more than `most` times.  A source misses its target by
+about half its smallest document if it has no more than `HEAD`, and otherwise by little more than one document that is
+not among its `HEAD` largest, so by less than a `HEAD`th of its own words, whatever the offset.
 
 The order is by size class (the length of the size in bits and its next `DETAIL` bits, so a class spans 1/16 of an
 octave at most), then slice (of `SLICES`, by id), size and id.  The running sum over a source is therefore a rank, found
@@ -35,6 +39,8 @@ UNIT = 1 << BITS
 DETAIL = 4
 SLICES = 64
 SEED = 20011
+#: Documents of a source that get a whole number of expected copies: its largest ones.
+HEAD = 128
 
 
 def offset(source: Column, seed: int = SEED) -> Column:
@@ -67,27 +73,60 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return s.select("source", "source_size", "_w", F.least(F.col("_cap").cast("double"), free * F.col("_w")).alias("target"))
 
 
+def heads(docs: DataFrame) -> DataFrame:
+    """source and heads: size and doc_id of its documents that are larger than the largest but HEAD, by size downwards.
+
+    Ranks stop at HEAD + 1 within each task, so a source with a third of all rows is no burden.
+    """
+    order = Window.partitionBy("source").orderBy(F.col("size").desc(), F.col("doc_id").asc_nulls_first())
+    top = docs.select("source", "size", "doc_id").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= HEAD + 1)
+    listed = top.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("_rank", "size", "doc_id"))).alias("heads"), F.max(F.when(F.col("_rank") > HEAD, F.col("size"))).alias("_beyond"))
+    return listed.select("source", F.filter("heads", lambda h: h["size"] > F.coalesce("_beyond", F.lit(0))).alias("heads"), F.coalesce("_beyond", F.lit(0)).alias("bound"))
+
+
+def whole_copies(listed: Column, rate: Column, most: int) -> Column:
+    """For documents from the largest down, struct (owed, copies): copies of each, and the words (times UNIT) still owed after them."""
+    def step(state: Column, head: Column) -> Column:
+        owed = state["owed"] + rate * head["size"]
+        n = F.least(F.lit(most).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((2 * owed + head["size"] * UNIT) / (2 * head["size"] * UNIT))))
+        return F.struct((owed - n * head["size"] * UNIT).alias("owed"), F.concat(state["copies"], F.array(n)).alias("copies"))
+
+    return F.aggregate(listed, F.struct(F.lit(0).cast("long").alias("owed"), F.array().cast("array<long>").alias("copies")), step)
+
+
 def mix(docs: DataFrame, seed: int = SEED, most: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and copies of every row of docs (doc_id, source, text)."""
     docs = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    docs = docs.withColumn("_class", size_class(F.col("size"))).withColumn("_slice", F.coalesce(F.pmod("doc_id", F.lit(SLICES)), F.lit(-1)))
+    place = {"_class": size_class(F.col("size")), "_slice": F.coalesce(F.pmod("doc_id", F.lit(SLICES)), F.lit(-1))}
     plan = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), most=most)
     rate = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") * UNIT), F.lit(most * UNIT).cast("long")))
-    plan = plan.select(F.col("source").alias("_gs"), "source_size", "target", F.coalesce(rate, F.lit(0).cast("long")).alias("_rate"), offset(F.col("source"), seed).alias("_offset"))
-
-    # ranks within the source by (size class, slice, size, id): where each (class, slice) begins, then the place in it
+    plan = plan.select("source", "source_size", "target", F.coalesce(rate, F.lit(0).cast("long")).alias("_rate"), offset(F.col("source"), seed).alias("_offset"))
+    largest = heads(docs).withColumnRenamed("source", "_hs")
+    plan = plan.join(largest, F.col("source").eqNullSafe(F.col("_hs"))).withColumn("_whole", whole_copies(F.col("heads"), F.col("_rate"), most))
+    others = F.col("source_size") - F.aggregate("heads", F.lit(0).cast("long"), lambda n, h: n + h["size"])
+    spread = F.when(others > 0, F.floor(F.col("_whole.owed") / others)).otherwise(F.lit(0).cast("long"))
+    even = F.least(F.lit(most * UNIT).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("_rate") + spread))
+    plan = cut(plan.select("source", "source_size", "target", "_offset", "bound", "heads", F.col("_whole.copies").alias("_copies"), even.alias("_rate")))  # a row per source
+    first = plan.select("source", "source_size", "target", F.explode(F.arrays_zip("heads", "_copies")).alias("h")).select(
+        F.col("h.heads.doc_id").alias("doc_id"), "source", F.col("h.heads.size").alias("size"), "source_size", "target", F.col("h._copies").alias("copies"))
+
+    # ranks within the source by (size class, slice, size, id): where each (class, slice) begins, then the place in it;
+    # the largest documents are the last of their (class, slice), and are not counted
+    docs, plan = docs.withColumns(place), plan.withColumnRenamed("source", "_gs").drop("heads", "_copies")
     ahead = Window.partitionBy("source").orderBy("_class", "_slice").rowsBetween(Window.unboundedPreceding, -1)
-    groups = (docs.groupBy("source", "_class", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_base", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    groups = docs.groupBy("source", "_class", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    taken = first.withColumns(place).groupBy(F.col("source").alias("_ts"), F.col("_class").alias("_tc"), F.col("_slice").alias("_tk")).agg(F.count(F.lit(1)).alias("_t"))
+    alike = F.col("source").eqNullSafe(F.col("_ts")) & (F.col("_class") == F.col("_tc")) & (F.col("_slice") == F.col("_tk"))
+    groups = (groups.join(taken, alike, "left").withColumn("_base", F.coalesce(F.sum(F.col("_n") - F.coalesce("_t", F.lit(0))).over(ahead), F.lit(0)))
               .join(plan, F.col("source").eqNullSafe(F.col("_gs")))
-              .select("_gs", F.col("_class").alias("_gc"), F.col("_slice").alias("_gk"), "_base", "source_size", "target", "_rate", "_offset"))
+              .select("_gs", F.col("_class").alias("_gc"), F.col("_slice").alias("_gk"), "_base", "source_size", "target", "bound", "_rate", "_offset"))
     inner = Window.partitionBy("source", "_class", "_slice").orderBy("size", "doc_id")
     same = F.col("source").eqNullSafe(F.col("_gs")) & (F.col("_class") == F.col("_gc")) & (F.col("_slice") == F.col("_gk"))
     end = (F.col("_base") + F.col("_in")) * F.col("_rate") + F.col("_offset")
-    placed = docs.withColumn("_in", F.row_number().over(inner)).join(groups, same).withColumn("_end", end)
+    placed = docs.withColumn("_in", F.row_number().over(inner)).join(groups, same).where(F.col("size") <= F.col("bound")).withColumn("_end", end)
     copies = F.shiftright("_end", BITS) - F.shiftright(F.col("_end") - F.col("_rate"), BITS)
-    return placed.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    placed = placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return placed.union(first).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def replicate(docs: DataFrame, seed: int = SEED, most: int = 3) -> DataFrame:

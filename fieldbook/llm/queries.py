@@ -113,7 +113,7 @@ from parts left join (select * from fits where k = 1) using (n)
 
 
 MIXING_SQL = f"""
-with d as (select doc_id, source, row_number() over () as n,
+with recursive d as (select doc_id, source, row_number() over () as n,
   coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w from s),
@@ -124,16 +124,23 @@ free as (select arg_min(level, 3 * source_size / w) as level from l where level
 t as (select source, source_size, least((3 * source_size)::double, free.level * w) as target from l, free),
 r as (select *, case when source_size > 0 then least(floor(target / source_size * {mixing.UNIT})::bigint, 3 * {mixing.UNIT}) else 0 end as rate,
   ('0x' || left(md5('{mixing.SEED}:' || coalesce(source, '')), {mixing.BITS // 4}))::bigint as u from t),
-k as (select d.doc_id, d.source, d.size, source_size, target, rate, (row_number() over (partition by d.source
+o as (select n, source, size, row_number() over (partition by source order by size desc, doc_id nulls first, n) as k from d),
+b as (select source, coalesce(max(size) filter (k = {mixing.HEAD + 1}), 0) as bound from o group by source),
+h as (select o.*, rate from o join b on o.source is not distinct from b.source join r on o.source is not distinct from r.source where size > bound),
+f as (select n, source, size, k, rate, greatest(0, least(3, floor((2 * rate * size + size * {mixing.UNIT}) / (2 * size * {mixing.UNIT}))))::bigint as copies, rate * size - copies * size * {mixing.UNIT} as owed from h where k = 1
+  union all select h.n, h.source, h.size, h.k, h.rate, greatest(0, least(3, floor((2 * (owed + h.rate * h.size) + h.size * {mixing.UNIT}) / (2 * h.size * {mixing.UNIT}))))::bigint as c,
+    owed + h.rate * h.size - c * h.size * {mixing.UNIT} from f join h on h.source is not distinct from f.source and h.k = f.k + 1),
+e as (select r.source, bound, source_size, target, u, least(3 * {mixing.UNIT}, greatest(0, rate + coalesce(case when source_size > spoken then floor(owed::double / (source_size - spoken)) else 0 end, 0)))::bigint as rate
+  from r join b on r.source is not distinct from b.source left join (select source, arg_max(owed, k) as owed, sum(size) as spoken from f group by source) g on r.source is not distinct from g.source),
+k as (select d.n, d.doc_id, d.source, d.size, source_size, target, rate, (row_number() over (partition by d.source
     order by length(bin(size)), floor(size / pow(2, length(bin(size)) - 1 - {mixing.DETAIL}))::bigint % {1 << mixing.DETAIL},
     coalesce(doc_id % {mixing.SLICES}, -1), size, doc_id) * rate)::bigint + u as ending
-  from d join r on d.source is not distinct from r.source)
-select doc_id, source, size, source_size, target, (ending >> {mixing.BITS}) - ((ending - rate) >> {mixing.BITS}) as copies,
-  ((ending >> {mixing.BITS}) - ((ending - rate) >> {mixing.BITS})) * size as taken
-from k
+  from d join e on d.source is not distinct from e.source where size <= bound),
+c as (select doc_id, source, size, source_size, target, (ending >> {mixing.BITS}) - ((ending - rate) >> {mixing.BITS}) as copies from k
+  union all select d.doc_id, d.source, d.size, source_size, target, copies from f join d using (n) join e on f.source is not distinct from e.source)
+select *, copies * size as taken from c
 """
 
-
 AUDIT_SQL = r"""
 with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words from d),
