@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.plans import activity, encoding, facets, imports, links, outreach, search, text, workflow  # noqa: F401  each registers its queries
+from fieldbook.plans import activity, encoding, facets, imports, links, outreach, search, streams, text, workflow  # noqa: F401  each registers its queries
 from fieldbook.plans.registry import QUERIES, SQL, Query
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from fieldbook.functions import whatwg
 from fieldbook.functions.text import blank_to_null, once, strip
 
 # fixed values: names that never leave the machine, and the reasons of the off-topic rules as (reason, hosts, path pattern)
@@ -27,35 +28,6 @@ OFF_TOPIC = (
 )
 STATUSES = ("live", "dead", "off-topic", "uncertain", "invalid")
 
-_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
-
-
-def _number(part: Column) -> Column:
-    """A part of a numeric host, as hexadecimal, octal or decimal; null if it is none."""
-    hexadecimal = F.coalesce(F.conv(F.substr(part, F.lit(3)), 16, 10), F.lit("0"))
-    return (F.when(part.rlike("^0x[0-9a-f]*$"), hexadecimal).when(part.rlike("^0[0-7]+$"), F.conv(part, 8, 10))
-            .when(part.rlike("^(?:0|[1-9][0-9]*)$"), part)).try_cast("long")
-
-
-def ipv4(host: Column) -> Column:
-    """The 32-bit address of a host whose last part is a number; -1 if it is no address, null if the host is a name.
-
-    As browsers read it: one to four parts, each in one of three bases, the last one filling the bytes that are left.
-    """
-    def address(parts: Column) -> Column:
-        values, n = F.transform(parts, lambda p: _number(p)), F.size(parts)
-        last = F.element_at(values, -1)
-        head = F.slice(values, F.lit(1), F.greatest(n - 1, F.lit(0)))
-        fine = (n <= 4) & F.forall(values, lambda v: v.isNotNull()) & F.forall(head, lambda v: v <= 255) & (last < F.pow(F.lit(256.0), 5 - n))
-        high = F.aggregate(F.transform(head, lambda v, i: (v * F.pow(F.lit(256.0), 3 - i)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
-        return F.when(F.element_at(parts, -1).rlike("^(?:[0-9]+|0x[0-9a-f]*)$"), F.when(F.coalesce(fine, F.lit(False)), high + last).otherwise(F.lit(-1).cast("long")))
-
-    return once(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), address)
-
-
-def _dotted(address: Column) -> Column:
-    return F.concat_ws(".", *[(F.shiftright(address, k).bitwiseAND(255)).cast("string") for k in (24, 16, 8, 0)])
-
 
 def _segments(path: Column) -> Column:
     """A path without its dot segments: `.` goes, `..` takes the one before with it."""
@@ -67,34 +39,30 @@ def _segments(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.concat(kept, F.when(ends, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/"))
 
 
-def _ascii(text: Column) -> Column:
-    """Characters outside ASCII percent-encoded as UTF-8."""
-    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.url_encode(c))), "")
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(each)
+def _encoded(text: Column, special: str) -> Column:
+    """Characters outside ASCII, controls and those of `special` percent-encoded as UTF-8."""
+    plain = rf"^[^\x00-\x20\x7F-\x{{10FFFF}}{special}]*$"
+    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(plain), c).when(c == " ", "%20").otherwise(F.url_encode(c))), "")
+    return F.when(text.rlike(plain), text).otherwise(each)
 
 
 def normalize(raw: Column) -> Column:
-    """https by default, lower-case scheme and host, no default port, a path without dot segments; a bare host has no slash at its end.
+    """https by default, lower-case scheme and canonical host, no default port, a path without dot segments; a bare host has no slash at its end.
 
-    Numeric hosts become dotted addresses and other characters than ASCII in the path are encoded.  Anything that is no
-    http link with an ASCII host is null.
+    Anything that is no http link is null.
     """
-    text = strip(raw)
-    whole = F.when(text.rlike("(?i)^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
-    scheme = F.lower(F.regexp_extract(whole, r"(?i)^(https?)://", 1))
-    place = F.lower(F.regexp_extract(whole, r"(?i)^https?://((?:[^/?#@]*@)?[^/?#]*)", 1))
-    place = F.when(scheme == "http", F.regexp_replace(place, ":80$", "")).otherwise(F.regexp_replace(place, ":443$", ""))
-    place = F.regexp_replace(place, ":$", "")
-    name = F.regexp_extract(place, r"^(?:[^@]*@)?([^@]*?)(?::\d+)?$", 1)
-    number = ipv4(name)
-    authority = F.when(number >= 0, F.concat(F.regexp_extract(place, "^((?:[^@]*@)?)", 1), _dotted(number), F.regexp_extract(place, r"(:\d+)?$", 1))).otherwise(place)
-    rest = F.regexp_replace(F.regexp_extract(whole, r"(?i)^https?://[^/?#]*(.*)$", 1), " ", "%20")
-    path, tail = F.regexp_extract(rest, "^([^?#]*)", 1), F.regexp_extract(rest, "^[^?#]*(.*)$", 1)
-    path = F.when(path.rlike(r"/(?:\.|%2[eE])"), _segments(path)).otherwise(path)
-    rest = _ascii(F.concat(path, tail))
-    end = F.when(rest == "/", F.lit("")).when(rest.rlike("^[?#]"), F.concat(F.lit("/"), rest)).otherwise(rest)
-    fine = (text != "") & ~text.startswith("mailto:") & place.rlike(r"^(?:[^@]*@)?(?:\[[0-9a-f:.]+\]|[a-z0-9._\-]+)(?::\d+)?$") & ((number >= 0) | number.isNull())
-    return F.when(fine, F.concat(scheme, F.lit("://"), authority, end))
+    def whole(u: Column) -> Column:
+        path = F.replace(F.regexp_extract(u["rest"], "^([^?#]*)", 1), F.lit("\\"), F.lit("/"))
+        path = once(path, lambda p: F.when(p.rlike(r"/(?:\.|%2[eE])"), _segments(p)).otherwise(p))
+        search, fragment = F.regexp_extract(u["rest"], r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(u["rest"], "^[^#]*(#.*)$", 1)
+        rest = F.concat(_encoded(path, '"<>`{}'), _encoded(search, "\"<>'"), _encoded(fragment, '"<>`'))
+        end = once(rest, lambda r: F.when(r == "/", F.lit("")).when(r.rlike("^[?#]"), F.concat(F.lit("/"), r)).otherwise(r))
+        user = F.when(u["user"].isin("", ":"), "").otherwise(F.concat(F.replace(u["user"], F.lit("@"), F.lit("%40")), F.lit("@")))
+        port = F.coalesce(F.concat(F.lit(":"), u["port"].cast("string")), F.lit(""))
+        return F.when(u["host"] != "", F.concat(u["scheme"], F.lit("://"), user, u["host"], port, end))
+
+    linked = lambda t: F.when((t != "") & ~t.startswith("mailto:"), F.when(t.rlike("(?i)^https?://"), t).otherwise(F.concat(F.lit("https://"), t)))
+    return once(once(strip(raw), lambda t: whatwg.parse(linked(t))), whole)
 
 
 def display(url: Column) -> Column:
@@ -103,39 +71,42 @@ def display(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(decoded, "(?i)^https?://", ""), "/$", "")
 
 
-def host(url: Column) -> Column:
-    """Lower-case host without credentials, port and brackets; empty if there is none."""
-    place = F.regexp_replace(F.lower(F.regexp_extract(url, _AUTHORITY, 1)), "^[^@]*@", "")
-    return F.regexp_replace(F.regexp_replace(place, r":\d*$", ""), r"^\[|\]$", "")
+def _low(address: Column) -> Column:
+    """Whether a 32-bit address is loopback, link-local, private, carrier, multicast or reserved."""
+    a, b = F.shiftright(address, 24), F.shiftright(address, 16).bitwiseAND(255)
+    return (a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)))
 
 
 def _private(h: Column) -> Column:
-    """Loopback, link-local, private, carrier, multicast and reserved addresses, also mapped into IPv6."""
-    def low(address: Column) -> Column:
-        a, b = F.shiftright(address, 24), F.shiftright(address, 16).bitwiseAND(255)
-        return F.coalesce(a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
-                          | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)), F.lit(False))
+    """Whether a canonical host is such an address, or one of IPv6; an address mapped into IPv6 is judged as what it maps."""
+    def six(p: Column) -> Column:
+        first = F.lower(F.hex(p[0]))
+        zeros = lambda n: F.forall(F.slice(p, F.lit(1), F.lit(n)), lambda x: x == 0)
+        mapped = zeros(5) & (p[5] == 0xFFFF)
+        return (zeros(7) & (p[7] <= 1)) | first.rlike("^(?:fe80|fc|fd|ff)") | (mapped & _low(p[6].cast("long") * 65536 + p[7]))
 
-    return once(ipv4(F.regexp_replace(h, "^::ffff:", "")), low) | (h.contains(":") & (h.isin("::1", "::") | h.rlike("^(?:fe80|fc|fd|ff)")))
+    inside = F.regexp_extract(h, r"^\[(.*)\]$", 1)
+    return F.coalesce(F.when(h.startswith("["), once(whatwg.ipv6(inside), six)).otherwise(once(whatwg.ipv4(h), _low)), F.lit(False))
 
 
 def safety(url: Column) -> Column:
     """ok, or why a link must not be fetched."""
-    def judge(h: Column) -> Column:
-        return (F.when(url.isNull() | ~url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), "invalid-url")
-                .when(~url.rlike("(?i)^https?:"), "scheme-not-allowed").when(h == "", "invalid-url").when(~h.contains(":") & (ipv4(h) == -1), "invalid-url")
-                .when(F.regexp_extract(url, _AUTHORITY, 1).contains("@"), "credentials-in-url")
-                .when(h.isin(*BLOCKED_HOSTS), "blocked-host").when(_private(h), "private-ip").otherwise("ok"))
+    def judge(u: Column) -> Column:
+        return (F.when(u.isNull(), "invalid-url").when(~u["scheme"].isin("http", "https"), "scheme-not-allowed").when(~u["user"].isin("", ":"), "credentials-in-url")
+                .when(u["host"].isin(*BLOCKED_HOSTS), "blocked-host").when(_private(u["host"]), "private-ip").otherwise("ok"))
 
-    return once(host(url), judge)
+    return once(whatwg.parse(url), judge)
 
 
 def off_topic(url: Column) -> Column:
     """The reason of the first rule for the link's host (without www.) and path, or null."""
-    h = F.regexp_replace(host(url), r"^www\.", "")
-    path = F.coalesce(blank_to_null(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)", 1)), F.lit("/"))
-    return F.coalesce(*[F.when(h.isin(*hosts) & (path.rlike(pattern) if pattern else F.lit(True)), F.lit(reason))
-                        for reason, hosts, pattern in OFF_TOPIC])
+    def judge(u: Column) -> Column:
+        h = F.regexp_replace(F.regexp_replace(u["host"], r"^\[|\]$", ""), r"^www\.", "")
+        path = F.coalesce(blank_to_null(F.regexp_extract(u["rest"], "^([^#]*)", 1)), F.lit("/"))
+        return once(F.struct(h.alias("h"), path.alias("p")), lambda x: F.coalesce(*[
+            F.when(x["h"].isin(*hosts) & (x["p"].rlike(pattern) if pattern else F.lit(True)), F.lit(reason)) for reason, hosts, pattern in OFF_TOPIC]))
+
+    return once(whatwg.parse(url), judge)
 
 
 def outcome(code: Column, method: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldbook.functions.patterns import java
 from fieldbook.functions.text import once
@@ -56,7 +56,23 @@ def redactions(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")).rlike(DIGITS), whole).otherwise(F.array().cast("array<string>"))
 
 
-def redaction_changes(text: Column) -> Column:
-    """What redaction did, and the spam patterns found in what it left."""
-    flags = F.transform(spam(redact(text)), lambda p: F.concat(F.lit('SPAM DETECTED: pattern "'), p, F.lit('" found in text')))
-    return F.concat(redactions(text), flags)
+def spam_notes(text: Column) -> Column:
+    return F.transform(spam(text), lambda p: F.concat(F.lit('SPAM DETECTED: pattern "'), p, F.lit('" found in text')))
+
+
+def redacted(rows: DataFrame, column: str, notes: str) -> DataFrame:
+    """rows with `column` redacted (null is empty) and `notes`: what redaction did, and the spam patterns in what it left.
+
+    One scan for all redactions' patterns finds the texts that any applies to; only these are rewritten, each step once.
+    """
+    steps = [f"_step{i}" for i in range(len(REDACTIONS) + 1)]
+    any_of = "|".join(f"(?:{java(p.removeprefix('(?i)'))})" for _, p, _ in REDACTIONS)
+    rows = rows.withColumn(steps[0], F.coalesce(column, F.lit("")))
+    rows = rows.withColumn("_hit", F.col(steps[0]).rlike(DIGITS) & F.col(steps[0]).rlike(f"(?i){any_of}"))
+    counts = []
+    for (name, pattern, replacement), before, after in zip(REDACTIONS, steps, steps[1:]):
+        rows = rows.withColumn(after, F.when(F.col("_hit"), F.regexp_replace(before, java(pattern), replacement)).otherwise(F.col(before)))
+        n = F.when(F.col("_hit"), F.regexp_count(before, F.lit(java(pattern))))
+        counts.append(once(n, lambda n, name=name: F.when(n > 0, F.concat(F.lit("Redacted "), n.cast("string"), F.lit(f" {name} pattern(s)")))))
+    rows = rows.withColumns({notes: F.concat(F.array_compact(F.array(*counts)), spam_notes(F.col(steps[-1]))), column: F.col(steps[-1])})
+    return rows.drop(*steps, "_hit")

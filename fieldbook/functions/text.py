@@ -28,8 +28,9 @@ ARTIFACTS = (
     (r"(?m)^[ \t]+|[ \t]+$", ""),
     (r"\n{3,}", "\n\n"),
 )
-#: What a text has to contain for each of these steps to change it; "" where nothing plain is needed.
-NEEDS = ("【", "[L", "", "#", "**", "*", "**", "*", "", "", "\n\n\n")
+#: What a text has to contain for each of these steps to change it; "" where nothing plain is needed.  The last two steps
+#: only take out white space next to other white space or at an end, which folding it afterwards does as well.
+NEEDS = ("【", "[L", "", "#", "**", "*", "**", "*", "")
 # fixed values: tags that are bookkeeping, not for readers
 INTERNAL_TAGS = r"(?i)^master_extract$|^deduplicated|^ri-\d+|^final_|^source:|^validation:"
 

@@ -1,48 +1,110 @@
-"""Streaming forms of the event upsert and the rate limiter (an extension: the originals serve single requests)."""
+"""Streams: events delivered at least once into a keyed snapshot, and a rate limiter with bounded state."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from fieldbook.operators.keyed import KeyedStore
 
-def merge_events(known: DataFrame, batch: DataFrame) -> DataFrame:
-    """known and batch (event_id, cents, status, at): the first delivery's amount, the last one's status."""
-    return known.unionByName(batch).groupBy("event_id").agg(F.min_by("cents", "at").alias("cents"), F.max_by("status", "at").alias("status"), F.max("at").alias("at"))
+COLUMNS = ("event_id", "cents", "status", "first_at", "last_at")
 
 
-def upsert_stream(deliveries: DataFrame, path: str):
-    """Writes the merged snapshot of every micro-batch to `path/<batch>`; a batch that is repeated writes the same."""
-    spark = deliveries.sparkSession
+def fold_events(rows: DataFrame) -> DataFrame:
+    """One row per event_id: the first delivery's amount, the last one's status; `first_at` and `last_at` tell which those are."""
+    return rows.groupBy("event_id").agg(F.min_by("cents", "first_at").alias("cents"), F.max_by("status", "last_at").alias("status"),
+                                        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
 
-    def write(batch: DataFrame, k: int) -> None:
-        known = spark.read.parquet(f"{path}/{k - 1}") if k else batch.where(F.lit(False))
-        merge_events(known, batch).write.mode("overwrite").parquet(f"{path}/{k}")
 
-    return deliveries.select("event_id", "cents", "status", "at").writeStream.foreachBatch(write)
+def delivered(deliveries: DataFrame) -> DataFrame:
+    """deliveries (event_id, cents, status, at) as rows of the snapshot."""
+    return deliveries.select("event_id", "cents", "status", F.col("at").alias("first_at"), F.col("at").alias("last_at"))
 
 
-def limited(attempts: DataFrame, seconds: int, most: int) -> DataFrame:
-    """attempts (id, key, ts) with `accepted`; state per key: the accepted times of the window, forgotten when it has passed."""
+def event_store(spark: SparkSession, path: str, buckets: int = 64) -> KeyedStore:
+    return KeyedStore(spark, path, ["event_id"], fold_events, buckets)
 
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+
+def upsert_stream(deliveries: DataFrame, path: str, buckets: int = 64):
+    """A stream writer that merges each micro-batch into the snapshot under `path`; a micro-batch that is repeated changes nothing."""
+    store = event_store(deliveries.sparkSession, path, buckets)
+    return delivered(deliveries).writeStream.foreachBatch(lambda batch, number: store.apply(batch, number))
+
+
+#: Rows of a key wait in spans of this part of the window, and are decided span by span.
+SPANS = 4
+
+
+class Limiter(StatefulProcessor):
+    """Accepts an attempt if fewer than `most` were accepted in the window before it.
+
+    Attempts come in any order, so they wait in spans of event time until the watermark has passed a span's end; then a
+    timer has the span decided in order.  The state of a key is the accepted times of the window, `most` at most, and
+    its waiting spans; no more than a span, or a frame of new rows, is in memory.
+    """
+
+    def __init__(self, seconds: int, most: int):
+        self.width, self.most = seconds * 1_000_000, most
+        self.span = max(1000, seconds * 1000 // SPANS)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.live = handle.getListState("live", "at long")
+        self.waiting = handle.getMapState("waiting", "ends long", "at array<long>, id array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            ends = (frame["micros"] // (self.span * 1000) + 1) * self.span
+            for end, some in frame.groupby(ends):
+                at, ids = some["micros"].tolist(), some["id"].tolist()
+                if self.waiting.containsKey((int(end),)):
+                    before = self.waiting.getValue((int(end),))
+                    at, ids = [*before[0], *at], [*before[1], *ids]
+                else:
+                    self.handle.registerTimer(int(end))
+                self.waiting.updateValue((int(end),), (at, ids))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = (expiredTimerInfo.getExpiryTimeInMs(),)
+        if not self.waiting.containsKey(end):
             return
-        live = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"])
-        accepted = []
-        for t in rows["ts"].astype("int64") // {"ns": 1000, "us": 1}[rows["ts"].dt.unit]:
-            live = [x for x in live if x > t - seconds * 1_000_000]
-            accepted.append(len(live) < most)
+        at, ids = self.waiting.getValue(end)
+        live = [r[0] for r in self.live.get()] if self.live.exists() else []
+        accepted, order = [], sorted(zip(at, ids))
+        for t, _ in order:
+            live = [x for x in live if x > t - self.width]
+            accepted.append(len(live) < self.most)
             if accepted[-1]:
-                live.append(int(t))
-        state.update((live,))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({"id": rows["id"], "key": key[0], "accepted": accepted})
+                live.append(t)
+        self.waiting.removeKey(end)
+        self.live.put([(t,) for t in live])
+        yield pd.DataFrame({"id": [i for _, i in order], "key": key[0], "accepted": accepted})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def stateful(spark: SparkSession):
+    """The state store that this kind of state needs; a stream keeps the one it was started with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def limited(attempts: DataFrame, seconds: int, most: int, late: str) -> DataFrame:
+    """A stream of attempts (id long, key long, ts) with `accepted`, for attempts that are at most `late` behind the newest.
 
-    return attempts.groupBy("key").applyInPandasWithState(
-        decide, "id long, key long, accepted boolean", "live array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    Attempts without a key or a time are left out.  An attempt is decided when the watermark passes its span.
+    """
+    rows = attempts.withWatermark("ts", late).where("ts is not null and key is not null").select("key", "id", "ts", F.unix_micros("ts").alias("micros"))
+    return rows.groupBy("key").transformWithStateInPandas(Limiter(seconds, most), "id long, key long, accepted boolean", "Append", "EventTime")

@@ -39,8 +39,11 @@ def test_redaction(spark):
     check(spark, privacy.redact, {
         "SSN 123-45-6789": "SSN [SSN REDACTED]", "DOB: 01/02/1990": "DOB: [DOB REDACTED]", "born 1990-01-02": "born: [DOB REDACTED]",
         "card 4785380592391139": "card [REDACTED]", "123456789012": "123456789012", None: ""})
-    assert apply(spark, privacy.redaction_changes, "SSN 123-45-6789, 123-45-6789 on UPWORK") == [
-        ["Redacted 2 SSN pattern(s)", 'SPAM DETECTED: pattern "\\bupwork\\b" found in text']]
+    rows = [(0, "SSN 123-45-6789, 123-45-6789 on UPWORK", 1), (1, None, 2), (2, "born 1990-01-02, 4785380592391139", 3), (3, "12 flippa", 4)]
+    got = privacy.redacted(spark.createDataFrame(rows, "i int, t string, other int"), "t", "notes").orderBy("i").collect()
+    assert [(r["t"], r["notes"], r["other"]) for r in got] == [
+        ("SSN [SSN REDACTED], [SSN REDACTED] on UPWORK", ["Redacted 2 SSN pattern(s)", 'SPAM DETECTED: pattern "\\bupwork\\b" found in text'], 1), ("", [], 2),
+        ("born: [DOB REDACTED], [REDACTED]", ["Redacted 1 DOB pattern(s)", "Redacted 1 long-digit (possible account/card) pattern(s)"], 3), ("12 flippa", ['SPAM DETECTED: pattern "\\bflippa\\b" found in text'], 4)]
 
 
 def test_links(spark):

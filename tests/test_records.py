@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fieldbook.functions import encode, links
+from fieldbook.functions import encode, whatwg
 from fieldbook.operators import search, validation
 from fieldbook.plans.imports import RECORD, REQUEST
 from fieldbook.sources.readers import import_lines
@@ -36,7 +36,7 @@ def test_signatures(spark):
 
 def test_numeric_hosts(spark):
     cases = {"1.2.3.4": 16909060, "16909060": 16909060, "0x1.2.772": 16909060, "01.0x2.03.4": 16909060, "1.2.3.256": -1, "1.2.3.4.5": -1, "256.1": -1, "08": -1, "4294967296": -1, "a.0x": -1, "a.b": None, "1.a": None}
-    rows = spark.createDataFrame([(h,) for h in cases], "h string").select("h", links.ipv4(F.col("h")).alias("n")).collect()
+    rows = spark.createDataFrame([(h,) for h in cases], "h string").select("h", whatwg.ipv4(F.col("h")).alias("n")).collect()
     assert {r["h"]: r["n"] for r in rows} == cases
 
 
