@@ -18,9 +18,6 @@ from pyspark.sql.types import StructType
 
 from fieldbook.sources.published import Manifest
 
-#: Manifests that stay, and with them the data they name.
-KEEP = 2
-
 
 class KeyedStore:
     """The snapshot under `path`.  The number of buckets is fixed with the first batch: rows of one are a task's work."""
@@ -63,16 +60,5 @@ class KeyedStore:
             self.manifest.publish(version + 1, {"batch": number, "of": buckets, "buckets": now, "schema": rows.schema.jsonValue()})
         finally:
             folded.unpersist()
-        self._clean()
+        self.manifest.clean()
         return touched
-
-    def _clean(self) -> None:
-        self.manifest.forget(KEEP)
-        named = {path for v in self.manifest.versions() for path in self.manifest.get(v)["buckets"].values()}
-        for folder in self.manifest.folder.names("data"):
-            parts = [f"data/{folder}/{p}" for p in self.manifest.folder.names(f"data/{folder}") if p.startswith("_bucket=")]
-            if not named.intersection(parts):
-                self.manifest.folder.delete(f"data/{folder}")
-            else:
-                for part in set(parts) - named:
-                    self.manifest.folder.delete(part)

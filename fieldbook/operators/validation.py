@@ -9,9 +9,13 @@ from pyspark.sql import Column, functions as F
 from fieldbook.functions.text import strip
 
 
+#: A time in UTC; seconds may be left out.
+MOMENT = r"^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])T(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?Z$"
+
+
 @dataclass(frozen=True)
 class Field:
-    """A field's kind (text, integer, flag or flags), bounds of its trimmed length, value or size, and whether it may be left out or null."""
+    """A field's kind (text, integer, flag, flags or moment), bounds of its trimmed length, value or size, and whether it may be left out or null."""
 
     kind: str = "text"
     low: int = 0
@@ -29,6 +33,8 @@ def _holds(line: Column, name: str, field: Field) -> Column:
         return (kind == "BIGINT") & F.try_variant_get(line, path, "bigint").between(field.low, field.high)
     if field.kind == "flag":
         return kind == "BOOLEAN"
+    if field.kind == "moment":
+        return (kind == "STRING") & F.try_variant_get(line, path, "string").rlike(MOMENT)
     if field.kind == "flags":
         flags = F.try_variant_get(line, path, "array<boolean>")
         some = kind.isin("ARRAY<BOOLEAN>", "ARRAY<VOID>") & F.size(flags).between(field.low, field.high)

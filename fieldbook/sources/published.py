@@ -44,6 +44,10 @@ class Folder:
         self._fs.deleteOnExit(self._at(self.path))
 
 
+#: Manifests that stay, and with them the data they name: a reader has until the second next version to finish.
+KEEP = 2
+
+
 class Manifest:
     """The versions of a folder, newest last, each a small JSON file; the newest is what readers see.
 
@@ -67,10 +71,27 @@ class Manifest:
     def publish(self, version: int, said: dict) -> None:
         self.folder.put(f"manifest/{version:012d}.json", json.dumps(said, sort_keys=True))
 
-    def forget(self, keep: int) -> None:
-        """Drops all manifests but the newest `keep`."""
-        for version in self.versions()[:-keep]:
+    def clean(self, keep: int = KEEP) -> None:
+        """Drops all manifests but the newest `keep`, and of the data (data/<version>/<part>) all that these do not name."""
+        versions = self.versions()
+        for version in versions[:-keep]:
             self.folder.delete(f"manifest/{version:012d}.json")
+        named = {path for v in versions[-keep:] for path in _paths(self.get(v))}
+        for version in self.folder.names("data"):
+            parts = {f"data/{version}/{p}" for p in self.folder.names(f"data/{version}") if p[0] != "." and not p.startswith("_SUCCESS")}
+            if parts & named:
+                for part in parts - named:
+                    self.folder.delete(part)
+            else:
+                self.folder.delete(f"data/{version}")
+
+
+def _paths(said: object) -> list[str]:
+    """All texts in what a manifest says."""
+    if isinstance(said, str):
+        return [said]
+    inside = said.values() if isinstance(said, dict) else said if isinstance(said, list) else []
+    return [p for x in inside for p in _paths(x)]
 
 
 def shared_folder(spark: SparkSession) -> str:
