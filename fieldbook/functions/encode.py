@@ -20,6 +20,20 @@ def csv_row(*values: Column) -> Column:
     return F.concat_ws(",", *[csv_cell(v) for v in values])
 
 
+def plain_cell(value: Column) -> Column:
+    """A cell quoted only for a comma, a quote or a line feed, its formulas as they are; null is empty."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def html_attribute(value: Column) -> Column:
+    """What a double-quoted attribute needs: four of the characters, not the apostrophe; null is empty."""
+    text = F.coalesce(value, F.lit(""))
+    for c, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(c), F.lit(entity))
+    return text
+
+
 def html(value: Column) -> Column:
     """The five characters with a meaning in HTML as entities; null is empty."""
     text = F.coalesce(value, F.lit(""))

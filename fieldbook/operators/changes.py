@@ -1,9 +1,7 @@
-"""Snapshots and their changes: upserts, partial updates, differences, audit rows and retention."""
+"""Snapshots and their changes: upserts, partial updates and retention."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -35,24 +33,7 @@ def patch(rows: DataFrame, patches: DataFrame, key: str, required: tuple[str, ..
     return joined.select(key, *[merged(c) for c in names])
 
 
-def differences(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Rows whose values differ (nulls are equal), with the names of the fields that do."""
-    names = [c for c in stored.columns if c != key]
-    both = stored.join(fresh.select(key, *[F.col(c).alias(f"_{c}") for c in names]), key)
-    changed = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in names]))
-    return both.withColumn("changed", changed).where(F.size("changed") > 0).select(key, "changed", *[F.col(f"_{c}").alias(c) for c in names])
-
-
 def newest(rows: DataFrame, by: list[str], order: list[Column], most: int = 1) -> DataFrame:
     """The first `most` rows of each key in the given order."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
-
-
-def errors(rules: list[tuple[str, Column]]) -> Column:
-    """Messages of the rules that do not hold, in order; a rule that is null does not hold."""
-    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(message)) for message, ok in rules]))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -68,9 +68,3 @@ def day_hash(day: str) -> int:
     for c in day:
         h = (h * 31 + ord(c)) & 0xFFFFFFFF
     return h - (1 << 32) if h >> 31 else h
-
-
-def nth(rows: DataFrame, order: str, k: int) -> DataFrame:
-    """The row at place k modulo the number of rows, which is the only thing that reaches the driver."""
-    n = rows.count()
-    return rows.orderBy(order).offset(k % n).limit(1) if n else rows

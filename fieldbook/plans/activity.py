@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from fieldbook.functions import encode, text
-from fieldbook.operators import changes, outreach
+from fieldbook.operators import changes, outreach, selection
 from fieldbook.plans.facets import TAGS
 from fieldbook.plans.links import PROBED, report
 from fieldbook.plans.outreach import AS_OF, SAVED, saved, today
@@ -102,14 +102,26 @@ SIGNED = f"""e as (select event_id, floor(epoch(ts))::bigint as t, event_id::var
 s as (select *, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || (t || '.' || payload)::blob))) as signature from e)"""
 
 
-@query(f"with {SIGNED} select event_id, signature, event_id % 700 <= {FRESH} as fresh, make_timestamp(t * 1000000) as occurred_at from s")
+#: Deliveries of events: when each was signed, by what, and when it is checked (the time of the next event); some are tampered with.
+DELIVERED = f"""with {SIGNED}, o as (select *, coalesce(lead(t) over (order by t, event_id), t) as now, case when event_id % 11 = 3 then upper(signature) when event_id % 11 = 5 then reverse(signature) when event_id % 11 = 7 then null else signature end as given from s)"""
+
+
+@query(f"""{DELIVERED} select event_id, signature, now - t <= {FRESH} as fresh, coalesce(given = signature, false) as genuine,
+  case when given is null or given <> signature or now - t > {FRESH} then 'Invalid signature.' else 'ok' end as outcome, make_timestamp(t * 1000000) as occurred_at from o""")
 def signed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures of events, whether they are fresh within 300 seconds, and epoch seconds as a time."""
+    """Signatures of events compared with those that came with them, whether they are fresh within 300 seconds, and the outcome.
+
+    The time of the next event is when one is checked; it comes by place, as events are numbered range by range.
+    """
     t = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
-    rows = table(spark, sf_dir, "events").select("event_id", t.alias("t"))
-    signature = encode.hmac("secret", F.concat_ws(".", F.col("t").cast("string"), F.col("event_id").cast("string")))
-    now = F.col("t") + F.col("event_id") % 700  # when it is checked
-    return rows.select("event_id", signature.alias("signature"), (F.abs(now - F.col("t")) <= FRESH).alias("fresh"), F.timestamp_seconds("t").cast("timestamp_ntz").alias("occurred_at"))
+    rows = selection.numbered(table(spark, sf_dir, "events").select("event_id", t.alias("t")), [F.col("t"), F.col("event_id")], "place")
+    after = rows.select((F.col("place") - 1).alias("place"), F.col("t").alias("now"))
+    k = F.col("event_id") % 11
+    signed = rows.withColumn("signature", encode.hmac("secret", F.concat_ws(".", F.col("t").cast("string"), F.col("event_id").cast("string"))))
+    given = F.when(k == 3, F.upper("signature")).when(k == 5, F.reverse("signature")).when(k == 7, F.lit(None)).otherwise(F.col("signature"))
+    both = signed.withColumn("given", given).join(after, "place", "left").withColumn("fresh", F.abs(F.coalesce("now", "t") - F.col("t")) <= FRESH)
+    outcome = F.when(F.col("given").isNull() | (F.col("given") != F.col("signature")) | ~F.col("fresh"), "Invalid signature.").otherwise("ok")
+    return both.select("event_id", "signature", "fresh", F.coalesce(F.col("given") == F.col("signature"), F.lit(False)).alias("genuine"), outcome.alias("outcome"), F.timestamp_seconds("t").cast("timestamp_ntz").alias("occurred_at"))
 
 
 @query(f"""with {RESOURCES}, p as (select id, {fill(FIRSTS, fill(PHONES_SQL, 'phone_raw'))} as p from resources)
@@ -135,12 +147,17 @@ def pending_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources(spark, sf_dir).where(~F.col("published")).select("id", "name", reason.alias("reason"))
 
 
-@query(f"with {RESOURCES} select count(*) as n, count(*) filter (published) as published, count(*) filter (not published) as pending, (select count(*) from part) = count(*) and count(distinct id) = count(*) as ready from resources")
+@query(f"""with {RESOURCES}, e as (select category, count(distinct id) as expected from resources join lineitem on l_partkey = id group by category)
+select category, count(*) as n, count(*) filter (published) as published, count(*) filter (not published) as pending, coalesce(max(expected), 0) as expected,
+  coalesce(max(expected), 0) = count(*) and count(distinct id) = count(*) as ready from resources left join e using (category) group by category""")
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published and pending entries, and whether as many distinct ones are there as expected."""
-    expected = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("expected"))
-    found = resources(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if("published").alias("published"), F.count_if(~F.col("published")).alias("pending"), F.countDistinct("id").alias("ids"))
-    return found.crossJoin(F.broadcast(expected)).select("n", "published", "pending", ((F.col("n") == F.col("expected")) & (F.col("ids") == F.col("n"))).alias("ready"))  # one row by one
+    """Published and pending entries by category, and whether as many distinct ones are there as the orders' lines name."""
+    named = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")).distinct()
+    rows = resources(spark, sf_dir)
+    expected = named.join(rows.select("id", "category"), "id").groupBy("category").agg(F.count(F.lit(1)).alias("expected"))
+    found = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if("published").alias("published"), F.count_if(~F.col("published")).alias("pending"), F.countDistinct("id").alias("ids"))
+    both = found.join(expected, "category", "left").withColumn("expected", F.coalesce("expected", F.lit(0).cast("long")))
+    return both.select("category", "n", "published", "pending", "expected", ((F.col("n") == F.col("expected")) & (F.col("ids") == F.col("n"))).alias("ready"))
 
 
 @query(f"with {RESOURCES} select id, published from resources where id in (18, 20, 25) or id = (select max(id) from resources)")

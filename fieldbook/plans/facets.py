@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from fieldbook.functions import links, text
+from fieldbook.operators import selection
 from fieldbook.plans.registry import fill, query
 from fieldbook.sources.tables import RESOURCES, REVIEWS, TAXONOMY_SQL, resources, reviews, table, taxonomy
 
@@ -26,9 +27,12 @@ def scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "name", "category", "priority")
 
 
-@query(WITH + "select id, name, acronym, category from resources where id = 17 and published")
+@query(WITH + "select id, name, acronym, category from resources where id = (select min(id) from resources where published and priority = 2) and published")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resources(spark, sf_dir).where((F.col("id") == 17) & F.col("published")).select("id", "name", "acronym", "category")
+    """One published entry by its id: the first of those with the highest priority."""
+    rows = resources(spark, sf_dir).where("published")
+    sought = rows.where("priority = 2").agg(F.min("id").alias("id"))
+    return rows.join(F.broadcast(sought), "id", "left_semi").select("id", "name", "acronym", "category")  # sought is one row
 
 
 @query("""select event_id, event_type, user_id, (select count(*) from events) as total, (select greatest(1, ceil(count(*) / 50.0))::bigint from events) as pages
@@ -41,6 +45,14 @@ def page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.crossJoin(F.broadcast(total))  # total is one row
 
 
+@query("""with e as (select event_id, event_type, ts, row_number() over (order by ts desc, event_id) - 1 as k, count(*) over () as n from events)
+select event_id, event_type from e where k >= n // 2 and k < n // 2 + 50""")
+def page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty rows of the same log from its middle: only the ranges of the order that the page lies in are sorted."""
+    log = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    return selection.page(log, [F.col("ts").desc(), F.col("event_id")], log.count() // 2, 50).select("event_id", "event_type")
+
+
 COVERED = [("with_phone", "phone_raw"), ("with_email", "email"), ("with_website", "website")]
 
 

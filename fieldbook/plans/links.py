@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldbook.functions import links, whatwg
 from fieldbook.functions.patterns import re2
-from fieldbook.operators import changes
+from fieldbook.operators import changes, selection
 from fieldbook.plans.facets import SHARE, share
 from fieldbook.plans.registry import fill, query, values
 from fieldbook.sources.tables import table
@@ -94,23 +94,22 @@ def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir).select("page_id", "code", "outcome", "status")
 
 
-@query(f"with {PROBED} select status, count(*) as n, string_agg(page_id || chr(9) || url || chr(9) || coalesce(reason, ''), chr(10) order by page_id) filter (page_id < 0) as tsv from report where status <> 'live' group by status")
+@query(f"with {PROBED} select status, count(*) as n from report where status <> 'live' group by status")
 def url_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of flagged links, and those of the sample as tab-separated lines; url_flagged_lines has the lines of all."""
-    line = F.concat_ws("\t", F.col("page_id").cast("string"), "url", F.coalesce("reason", F.lit("")))
-    lines = F.sort_array(F.collect_list(F.when(F.col("page_id") < 0, F.struct("page_id", line.alias("line")))))  # at most the sample's rows
-    return (report(spark, sf_dir).where("status <> 'live'").groupBy("status")
-            .agg(F.count(F.lit(1)).alias("n"), F.nullif(F.array_join(F.transform(lines, lambda r: r["line"]), "\n"), F.lit("")).alias("tsv")))
+    """Numbers of flagged links by status; url_flagged_lines has their lines."""
+    return report(spark, sf_dir).where("status <> 'live'").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {PROBED} select page_id, 0 as live, page_id::varchar as name, status || chr(9) || page_id || chr(9) || coalesce(url, '') ||
-  case when reason is not null then chr(9) || reason else '' end as line from report where status <> 'live'""")
+@query(f"""with {PROBED}, n as (select *, case when status = 'live' then 1 else 0 end as live, page_id::varchar as name from report)
+select page_id, live, row_number() over (order by live, name, coalesce(url, ''), page_id) as place, case when live = 0 then status || chr(9) || page_id || chr(9) || coalesce(url, '') ||
+  case when reason is not null then chr(9) || reason else '' end end as line from n""")
 def url_flagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every flagged link as a tab-separated line, one row each; a page's id is its name.  In order by (live, name): flagged first."""
+    """All links, flagged ones first, then by name (a page's id), with their place; each flagged one as a tab-separated line."""
     reason = F.when(F.col("reason").isNotNull(), F.concat(F.lit("\t"), "reason")).otherwise("")
-    name = F.col("page_id").cast("string")
-    line = F.concat("status", F.lit("\t"), name, F.lit("\t"), F.coalesce("url", F.lit("")), reason)
-    return report(spark, sf_dir).where("status <> 'live'").select("page_id", F.lit(0).alias("live"), name.alias("name"), line.alias("line"))
+    rows = report(spark, sf_dir).select("page_id", F.col("page_id").cast("string").alias("name"), (F.col("status") == "live").cast("int").alias("live"), "status", F.coalesce("url", F.lit("")).alias("url"), reason.alias("reason"))
+    placed = selection.numbered(rows, [F.col("live"), F.col("name"), F.col("url"), F.col("page_id")], "place")
+    line = F.concat("status", F.lit("\t"), "name", F.lit("\t"), "url", "reason")
+    return placed.select("page_id", "live", "place", F.when(F.col("live") == 0, line).alias("line"))
 
 
 @query(f"with {PROBED} select count(*) as total, count(*) filter (status = 'live') as live, {fill(SHARE, chr(99) + 'ount(*) filter (status = ' + repr('live') + ')', 'count(*)')} as percent from report")
@@ -120,26 +119,26 @@ def link_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, sf_dir: str, fresh: bool) -> DataFrame:
-    """A prior report, and a fresh one of a third of the entries plus new ones."""
+    """A prior report, and a fresh one of every entry, half of them under new ids."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"), F.col("c_nationkey").alias("code"))
-    return (c.where("id % 3 = 0").select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-F.col("id") - 1).alias("id"), F.lower("status").alias("status"),
+    return (c.select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-F.col("id") - 1).alias("id"), F.lower("status").alias("status"),
                                          F.lit(None).cast("int").alias("code")) if fresh else c)
 
 
 @query("""with prior as (select c_custkey as id, c_mktsegment as status, c_nationkey as code from customer),
-fresh as (select case when c_custkey % 2 = 0 then c_custkey else -c_custkey - 1 end as id, lower(c_mktsegment) as status, null::int as code from customer where c_custkey % 3 = 0)
+fresh as (select case when c_custkey % 2 = 0 then c_custkey else -c_custkey - 1 end as id, lower(c_mktsegment) as status, null::int as code from customer)
 select * from fresh union all select * from prior where id not in (select id from fresh)""")
 def report_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fresh row replaces the prior one whole, also where it has nulls; new rows are added."""
     return changes.override(customers(spark, sf_dir, False), customers(spark, sf_dir, True), ["id"])
 
 
-@query("""select o_custkey as run_id, count(*) as n, string_agg(o_orderkey, ',' order by o_orderdate, o_orderkey) as results from orders
-where o_custkey = (select o_custkey from orders order by o_orderdate desc, o_orderkey desc limit 1) group by o_custkey""")
+@query("""select o_custkey as run_id, row_number() over (order by o_orderdate, o_orderkey) as place, o_orderkey as result from orders
+where o_custkey = (select o_custkey from orders order by o_orderdate desc, o_orderkey desc limit 1)""")
 def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest run with its results in order; the run is found by one aggregate."""
+    """The newest run, one row per result with its place; the run is found by one aggregate, and its results are placed range by range."""
     orders = table(spark, sf_dir, "orders")
     newest = orders.agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_custkey"))["o_custkey"].alias("run_id"))
     rows = orders.join(F.broadcast(newest), F.col("o_custkey") == F.col("run_id"))  # newest is one row
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda r: r["o_orderkey"].cast("string"))
-    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(in_order, ",").alias("results"))
+    placed = selection.numbered(rows.select("run_id", "o_orderdate", "o_orderkey"), [F.col("o_orderdate"), F.col("o_orderkey")], "place")
+    return placed.select("run_id", "place", F.col("o_orderkey").alias("result"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from fieldbook.operators import outreach
+from fieldbook.operators import outreach, selection
 from fieldbook.plans.registry import fill, query
 from fieldbook.sources.tables import CONTACTS, RESOURCES, contacts, resources, table
 
@@ -148,9 +148,25 @@ def clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", outreach.clamp(F.col("value") - 2, 0, 5).alias("rating"))
 
 
-@query(f"""with {RESOURCES}, p as (select id, name, row_number() over (order by id) - 1 as k, count(*) over () as n from resources where published and priority >= 1)
-select id, name from p where k = abs({outreach.day_hash('2026-8-9')}) % n""")
+def _picked_sql(first: str) -> str:
+    return f"""with {RESOURCES}, pool as (select id, name from resources where published and ({first} or not exists (select 1 from resources where published and {first}))),
+p as (select id, name, row_number() over (order by id) - 1 as k, count(*) over () as n from pool) select id, name from p where k = abs({outreach.day_hash('2026-8-9')}) % n"""
+
+
+def _picked(spark: SparkSession, sf_dir: str, first: str) -> DataFrame:
+    """The entry of the day among the published ones that `first` holds for, or all of them if it does for none."""
+    rows = resources(spark, sf_dir).where("published").select("id", "name", "priority")
+    pool = rows.where(first)
+    return selection.nth((rows if pool.isEmpty() else pool).select("id", "name"), [F.col("id")], abs(outreach.day_hash("2026-8-9")))
+
+
+@query(_picked_sql("priority >= 1"))
 def daily_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry of the day among those with priority: place = hash of the date modulo their number."""
-    pool = resources(spark, sf_dir).where("published and priority >= 1").select("id", "name")
-    return outreach.nth(pool, "id", abs(outreach.day_hash("2026-8-9")))
+    return _picked(spark, sf_dir, "priority >= 1")
+
+
+@query(_picked_sql("priority >= 9"))
+def daily_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of the day where no entry has priority: from the whole pool."""
+    return _picked(spark, sf_dir, "priority >= 9")

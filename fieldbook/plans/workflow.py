@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from fieldbook.functions.patterns import re2
-from fieldbook.operators import changes, limiter, toggles
+from fieldbook.operators import changes, limiter, membership, toggles
 from fieldbook.plans.registry import query
 from fieldbook.plans.text import SAMPLES, clean_sql, redact_sql, values
 from fieldbook.functions import privacy, text
@@ -29,13 +29,13 @@ def workflow_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where(~F.col("o_orderstatus").isin("F")).select("o_orderkey", "o_orderstatus")
 
 
-@query(f"""with {RESOURCES}, p as (select id, id % 2 = 0 as sets_email, case when id % 4 = 0 then 'new@x.org' end as new_email, case when id % 3 = 0 then 'renamed' end as new_name from resources where id % 5 = 0)
+@query(f"""with {RESOURCES}, p as (select id, id % 2 = 0 as sets_email, case when id % 4 = 0 then 'new@x.org' end as new_email, case when id % 3 = 0 then 'renamed' end as new_name from resources)
 select r.id, coalesce(p.new_name, r.name) as name, case when p.sets_email then p.new_email else r.email end as email, r.priority from resources r left join p on r.id = p.id""")
 def patch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial update: what is left out stays, null clears, a value replaces; a name can't be cleared."""
     rows = resources(spark, sf_dir).select("id", "name", "email", "priority")
     fields = F.when(F.col("id") % 2 == 0, F.array(F.lit("name"), F.lit("email"))).otherwise(F.array(F.lit("name")))
-    patches = rows.where("id % 5 = 0").select("id", fields.alias("fields"), F.when(F.col("id") % 4 == 0, "new@x.org").alias("email"), F.when(F.col("id") % 3 == 0, "renamed").alias("name"))
+    patches = rows.select("id", fields.alias("fields"), F.when(F.col("id") % 4 == 0, "new@x.org").alias("email"), F.when(F.col("id") % 3 == 0, "renamed").alias("name"))
     return changes.patch(rows, patches, "id", ("name",))
 
 
@@ -149,6 +149,33 @@ def collection_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("conv_id", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"))
 
 
+#: Collections of the parts of each order, and what is saved of them: published entries.
+COLLECTED = f"with {RESOURCES}, c as (select l_orderkey as collection_id, l_partkey as id, l_linenumber, l_suppkey from lineitem), saved as (select id, name from resources where published)"
+
+
+def collected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("collection_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("l"))
+    return lines.select("collection_id", F.transform("l", lambda x: x["l_partkey"]).alias("members")), resources(spark, sf_dir).where("published").select("id", "name")
+
+
+@query(f"{COLLECTED} select collection_id, count(*) as n_members, count(saved.id) as n_found, count(*) - count(saved.id) as n_orphans from c left join saved using (id) group by collection_id")
+def collection_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each collection's members, those that are saved, and how many are not."""
+    return membership.counted(*collected(spark, sf_dir))
+
+
+@query(f"{COLLECTED}, p as (select *, row_number() over (partition by collection_id order by l_linenumber, l_suppkey, id) - 1 as place from c) select collection_id, place::int as place, id, name from p join saved using (id)")
+def collection_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saved entries of each collection, at their places in it."""
+    return membership.members(*collected(spark, sf_dir)).select("collection_id", "place", "id", "name")
+
+
+@query(f"{COLLECTED} select saved.id, count(distinct collection_id) as n_collections from saved left join c using (id) group by saved.id")
+def collections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each saved entry with the number of collections that have it."""
+    return membership.containing(*collected(spark, sf_dir))
+
+
 @query(f"""with {RESOURCES} select count(*) as n, count(distinct id) as ids, count(*) - count(distinct id) as repeated, count(*) filter (name is null or name = '') as unnamed,
   count(*) filter (category not in ({SLUGS})) as uncategorised, count(*) filter (published) = count(*) as all_published from resources""")
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
