@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from fieldbook.functions.patterns import SPACE
-from fieldbook.operators import search
+from fieldbook.operators import search, vocabulary
 from fieldbook.plans.registry import query
+from fieldbook.sources.published import shared_folder
 from fieldbook.sources.tables import RESOURCES, resources, spread, table
 
 ASKED = "Onmant of erster rapport 3 src3"
@@ -42,27 +44,59 @@ def scored_sql(rows: str, fields: list[str], text: str) -> str:
 
 
 LONG = f"with {ENTRIES}, {scored_sql('entries', list(FIELDS), ASKED)} "
-PART_FIELDS = ["name", "acronym", "tags", "category", "subcategory", "phone_raw", "email", "website"]
-SHORT = f"with {RESOURCES}, {scored_sql('(select * from resources where published)', PART_FIELDS, PARTS)} "
+PART_FIELDS = ["name", "acronym", "tags", "category", "subcategory", "address", "phone_raw", "phone_normalized", "email", "website", "source_note"]
+SHORT = f"""with {RESOURCES}, whole as (select *, case when id % 3 = 0 then 'Smal Street ' || id end as address, regexp_replace(phone_raw, '[^0-9]', '', 'g') as phone_normalized, case when id % 4 = 1 then 'from brand_hotline 2 of ' || acronym end as source_note
+  from resources where published), {scored_sql('whole', PART_FIELDS, PARTS)} """
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published entries with all the fields that are searched."""
+    k = F.col("id")
+    return resources(spark, sf_dir).where("published").withColumns({
+        "address": F.when(k % 3 == 0, F.concat(F.lit("Smal Street "), k.cast("string"))), "phone_normalized": F.regexp_replace("phone_raw", "[^0-9]", ""),
+        "source_note": F.when(k % 4 == 1, F.concat(F.lit("from brand_hotline 2 of "), "acronym"))})
 
 
 @query(LONG + "select id, score, priority, matched from r where score > 0 order by score desc, priority desc, id limit 24")
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page over whole documents.  Names are texts here, so ties go by id."""
+    """The first page over whole documents; for one question a scan is cheaper than an index.  Names are texts here, so ties go by id."""
     found = search.score(entries(spark, sf_dir), ASKED)
     return found.orderBy(F.col("score").desc(), F.col("priority").desc(), "id").limit(24).where("score > 0").select("id", "score", "priority", F.array_join("matched", ",").alias("matched"))
 
 
+QUESTIONS = {"typos": ASKED, "twice": "rapport Rapport report", "short": "zu 3", "long": "Informationsverarbeitungssystemen " + "x" * 30, "none": "the of", "code": "src12 sr"}
+QUESTIONS_SQL = " union all ".join(
+    f"select * from (with {scored_sql('entries', list(FIELDS), text)} select '{name}' as question, row_number() over (order by score desc, priority desc, id)::int as place, id, score, priority, matched from r where score > 0 limit 24)"
+    for name, text in QUESTIONS.items() if search.query_tokens(text))
+
+
+def _ranked(spark: SparkSession, sf_dir: str, questions: dict[str, str], most: int = 24) -> DataFrame:
+    """The first rows of each question's ranking; one index serves all."""
+    rows = entries(spark, sf_dir)
+    found = vocabulary.Index(spark, shared_folder(spark)).build(rows).search(questions)
+    boost = F.when(F.col("priority") >= 1, F.lit(1.15)).otherwise(F.lit(1.0))
+    scored = found.join(rows.select("id", "priority"), "id").withColumn("score", F.round(F.col("score") * boost, 6))
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.col("score").desc(), F.col("priority").desc(), "id"))
+    return scored.withColumn("place", place).where(F.col("place") <= most).select("question", "place", "id", "score", "priority", F.array_join("matched", ",").alias("matched"))
+
+
+@query(f"with {ENTRIES} {QUESTIONS_SQL}")
+def search_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of each of several questions over whole documents; words said twice, long ones and stop words alone are among them."""
+    return _ranked(spark, sf_dir, QUESTIONS)
+
+
 @query(SHORT + "select id, name, score, matched from r where score > 0 order by score desc, priority desc, name, id offset 24 limit 24")
 def search_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page over short fields, with the fields that matched."""
-    found = search.search(resources(spark, sf_dir).where("published"), PARTS, 24, 24)
+    asked, limit, offset = search.parameters(PARTS, 24, 24)
+    found = search.search(parts(spark, sf_dir), asked, limit, offset)
     return found.select("id", "name", "score", F.array_join("matched", ",").alias("matched"))
 
 
 @query(SHORT + "select count(*) as total, round(max(score), 6) as best from r where score > 0")
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = search.score(resources(spark, sf_dir).where("published"), PARTS)
+    scored = search.score(parts(spark, sf_dir), PARTS)
     return scored.agg(F.count_if(F.col("score") > 0).alias("total"), F.max(F.when(F.col("score") > 0, F.col("score"))).alias("best"))
 
 
