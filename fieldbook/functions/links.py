@@ -89,24 +89,27 @@ def _private(h: Column) -> Column:
     return F.coalesce(F.when(h.startswith("["), once(whatwg.ipv6(inside), six)).otherwise(once(whatwg.ipv4(h), _low)), F.lit(False))
 
 
+def safety_of(u: Column) -> Column:
+    """ok, or why a link must not be fetched, from its parts."""
+    private = once(u["host"], _private)
+    return (F.when(u.isNull(), "invalid-url").when(~u["scheme"].isin("http", "https"), "scheme-not-allowed").when(~u["user"].isin("", ":"), "credentials-in-url")
+            .when(u["host"].isin(*BLOCKED_HOSTS), "blocked-host").when(private, "private-ip").otherwise("ok"))
+
+
 def safety(url: Column) -> Column:
-    """ok, or why a link must not be fetched."""
-    def judge(u: Column) -> Column:
-        return (F.when(u.isNull(), "invalid-url").when(~u["scheme"].isin("http", "https"), "scheme-not-allowed").when(~u["user"].isin("", ":"), "credentials-in-url")
-                .when(u["host"].isin(*BLOCKED_HOSTS), "blocked-host").when(_private(u["host"]), "private-ip").otherwise("ok"))
+    return once(whatwg.parse(url), safety_of)
 
-    return once(whatwg.parse(url), judge)
 
+def off_topic_of(u: Column) -> Column:
+    """The reason of the first rule for the link's host (without www.) and path, or null, from its parts."""
+    h = F.regexp_replace(F.regexp_replace(u["host"], r"^\[|\]$", ""), r"^www\.", "")
+    path = F.coalesce(blank_to_null(F.regexp_extract(u["rest"], "^([^#]*)", 1)), F.lit("/"))
+    return once(F.struct(h.alias("h"), path.alias("p")), lambda x: F.coalesce(*[
+        F.when(x["h"].isin(*hosts) & (x["p"].rlike(pattern) if pattern else F.lit(True)), F.lit(reason)) for reason, hosts, pattern in OFF_TOPIC]))
 
-def off_topic(url: Column) -> Column:
-    """The reason of the first rule for the link's host (without www.) and path, or null."""
-    def judge(u: Column) -> Column:
-        h = F.regexp_replace(F.regexp_replace(u["host"], r"^\[|\]$", ""), r"^www\.", "")
-        path = F.coalesce(blank_to_null(F.regexp_extract(u["rest"], "^([^#]*)", 1)), F.lit("/"))
-        return once(F.struct(h.alias("h"), path.alias("p")), lambda x: F.coalesce(*[
-            F.when(x["h"].isin(*hosts) & (x["p"].rlike(pattern) if pattern else F.lit(True)), F.lit(reason)) for reason, hosts, pattern in OFF_TOPIC]))
 
-    return once(whatwg.parse(url), judge)
+def off_topic(url: Column) -> Column:
+    return once(whatwg.parse(url), off_topic_of)
 
 
 def outcome(code: Column, method: Column) -> Column:
@@ -116,7 +119,7 @@ def outcome(code: Column, method: Column) -> Column:
             .otherwise("server-error"))
 
 
-def status(url: Column, result: Column) -> Column:
-    """live, dead, off-topic, uncertain or invalid."""
-    return (F.when(url.isNull() | (safety(url) != "ok"), "invalid").when(off_topic(url).isNotNull(), "off-topic")
+def status(safe: Column, reason: Column, result: Column) -> Column:
+    """live, dead, off-topic, uncertain or invalid, from what safety, off_topic and outcome said."""
+    return (F.when(safe != "ok", "invalid").when(reason.isNotNull(), "off-topic")
             .when(result == "ok", "live").when(result == "dead", "dead").otherwise("uncertain"))

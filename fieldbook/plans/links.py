@@ -75,8 +75,9 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classified probes: fetching is not part of the engine, so the status code is a rule of page_id here."""
     codes = F.array(*[F.lit(c) for c in (200, 301, 404, 410, 403, 500, 429, None)])
     rows = sites(spark, sf_dir).withColumn("code", F.element_at(codes, F.pmod(F.col("page_id") + 100, F.lit(8)).cast("int") + 1))
-    rows = rows.withColumn("outcome", links.outcome(F.col("code"), F.lit("GET")))
-    return rows.withColumn("status", links.status(F.col("url"), F.col("outcome"))).withColumn("reason", links.off_topic(F.col("url")))
+    rows = rows.withColumns({"outcome": links.outcome(F.col("code"), F.lit("GET")), "parts": whatwg.parse(F.col("url"))})  # read once for both rules
+    rows = rows.withColumns({"safety": links.safety_of(F.col("parts")), "reason": links.off_topic_of(F.col("parts"))}).drop("parts")
+    return rows.withColumn("status", links.status(F.col("safety"), F.col("reason"), F.col("outcome")))
 
 
 @query(f"with {PROBED} select page_id, safety from probed")
