@@ -11,7 +11,7 @@ text only, as in Chinese, their vectors are added up per text instead.  A text l
 share two letters, so memory depends neither on the length of a text nor on its alphabet.
 
 Training: a documented bound, `TRAIN_PER_LANG`, of labelled training rows per language, thinned evenly by a hash of the
-id; everything else covers all rows.  Prediction uses the text alone.
+id and text; everything else covers all rows.  Prediction uses the text alone.
 
 Defined results: a null text or one without a letter is `und` with score 0; rows with a null lang are never learned
 from; rows with a null doc_id are training rows; with no labelled row every text is `und`; very long texts are read whole;
@@ -173,7 +173,7 @@ def train(docs: DataFrame, bound: int = TRAIN_PER_LANG) -> dict[str, np.ndarray]
     if not totals:
         return {}
     share = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, bound / n)))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)  # the text tells rows without an id apart
     thinned = labelled.where(draw < F.element_at(share, F.col("lang")))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,8 @@ its quanta come whole, in every so many windows.  When a queue runs dry, the oth
 
 The order of service has a closed form, so it needs no sequential pass.
 
-1. A phase is a stretch in which each queue gives a fixed number of quanta (see `plan`).
+1. A phase ends where a queue runs dry; in it each other queue gives the quanta of its weight (see `plan`).  There may be
+   as many phases as queues.
 2. In a phase the queues are the leaves of a balanced binary tree.  A node that has n quanta, l of them from its left
    side, takes its i-th from the left if floor((i + 1) l / n) > floor(i l / n): either side is within one quantum of its
    share at all times, and both end with the node.  A queue is thus within as many quanta of its share as the tree is
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,6 @@ from fieldbook.llm.job import before, cut, in_batches
 
 WINDOW = 4096
 QUANTUM = 256
-#: Where more queues run dry at different times, their ends are rounded up to so many steps of equal ratio.
-PHASES = 64
 #: Ids of a queue that one task puts in order, and the fewest tasks that a queue is dealt to.
 CHUNK_IDS, CHUNKS = 16_000_000, 512
 
@@ -73,40 +73,61 @@ def divide(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return estimate + rest // c
 
 
-def plan(totals: np.ndarray, weights: np.ndarray | None = None, quantum: int = QUANTUM) -> np.ndarray:
-    """Quanta that each queue (column) has given by the end of each phase (row), beginning with none.
+class Plan(NamedTuple):
+    """When queues run dry: `times` are the different ones in order, `dry` each queue's, with its weight and quanta."""
 
-    By default a queue's weight is its total, so all run dry together: one phase.  Else queues of weight w and n quanta
-    run dry at the times n / w; a phase ends where one does.
+    times: np.ndarray
+    dry: np.ndarray
+    weights: np.ndarray
+    quanta: np.ndarray
+
+    @property
+    def phases(self) -> int:
+        """A phase ends where a queue runs dry; queues without a weight come after all others."""
+        return len(self.times) + bool(((self.weights <= 0) & (self.quanta > 0)).any())
+
+    def given(self, phase: np.ndarray | int, queue: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Quanta that queues have given when `phase` phases are over."""
+        phase, quanta, weights = np.asarray(phase), self.quanta[queue], self.weights[queue]
+        if not len(self.times):
+            return np.where(phase > 0, quanta, 0)
+        t = self.times[np.clip(phase - 1, 0, len(self.times) - 1)]
+        served = np.minimum(np.floor(np.minimum(t * weights, 2.0**62)).astype(np.int64), quanta)
+        done = (self.dry[queue] <= t) | (phase >= len(self.times))
+        some = np.where(weights > 0, np.where(done, quanta, served), 0)
+        return np.where(phase > len(self.times), quanta, np.where(phase > 0, some, 0))
+
+
+def plan(totals: np.ndarray, weights: np.ndarray | None = None, quantum: int = QUANTUM) -> Plan:
+    """By default a queue's weight is its total, so all run dry together: one phase.  Else queues of weight w and n quanta
+    run dry at the times n / w.
     """
     quanta = totals // quantum
-    weights = np.where(totals > 0, totals, 0).astype(np.float64) if weights is None else weights
+    weights = np.where(totals > 0, totals, 0).astype(np.float64) if weights is None else np.asarray(weights, dtype=np.float64)
     some = (quanta > 0) & (weights > 0)
     dry = np.divide(quanta, weights, out=np.zeros(len(quanta)), where=some)
     times = np.unique(dry[some])
-    if weights is not None and len(times) and (np.ptp(quanta[some] - weights[some] * times[-1]) < 1):
+    if len(times) and np.ptp(quanta[some] - weights[some] * times[-1]) < 1:
         times = times[-1:]  # they differ by less than a quantum
-    if len(times) > PHASES:
-        times = np.geomspace(times[0], times[-1], PHASES)
-        times[-1] = dry.max()
-    rows = [np.zeros_like(quanta)]
-    for k, t in enumerate(times):
-        over = dry <= t if k < len(times) - 1 else some
-        # a queue that runs dry within the phase gives the rest evenly over it
-        given = np.minimum(np.floor(np.minimum(t * weights, 2.0**62)).astype(np.int64), quanta)
-        rows.append(np.maximum(rows[-1], np.where(some, np.where(over, quanta, given), 0)))
-    if (quanta > rows[-1]).any():
-        rows.append(quanta)
-    return np.array(rows)
-
-
-def places(given: np.ndarray, queue: np.ndarray, nth: np.ndarray) -> np.ndarray:
-    """The place among all quanta of the nth quantum of a queue, for each pair."""
+    return Plan(times, dry, np.where(some, weights, 0.0), quanta)
+
+
+def places(order: Plan, queue: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """The place among all quanta of the nth quantum of a queue, for each pair.
+
+    Its phase is found by halving; what queues give in a phase is worked out where a quantum of it is asked for, so the
+    number of phases is not bounded and memory grows with the queues alone.
+    """
     out = np.zeros(len(nth), dtype=np.int64)
-    phase = (given[1:, queue] <= nth).sum(axis=0)
-    for p in np.unique(phase).tolist():
-        some = np.flatnonzero(phase == p)
-        counts = given[p + 1] - given[p]
+    phase, above = np.zeros(len(nth), dtype=np.int64), np.full(len(nth), order.phases)  # the last with given <= nth
+    while (above - phase > 1).any():
+        middle = (phase + above) // 2
+        fits = order.given(middle, queue) <= nth
+        phase, above = np.where(fits, middle, phase), np.where(fits, above, middle)
+    by_phase = np.argsort(phase, kind="stable")
+    for some in np.split(by_phase, np.flatnonzero(np.diff(phase[by_phase])) + 1) if len(nth) else []:
+        before_it, after_it = order.given(int(phase[some[0]])), order.given(int(phase[some[0]]) + 1)
+        counts = after_it - before_it
         sums = np.concatenate([[0], np.cumsum(counts)])
         leaf, at = np.unique(queue[some], return_inverse=True)
         low, high = np.zeros(len(leaf), dtype=np.int64), np.full(len(leaf), len(counts))
@@ -117,18 +138,18 @@ def places(given: np.ndarray, queue: np.ndarray, nth: np.ndarray) -> np.ndarray:
             left = leaf < mid
             path.append((left, sums[mid] - sums[low], sums[high] - sums[mid]))
             low, high = np.where(left, low, mid), np.where(left, mid, high)
-        place = nth[some] - given[p, queue[some]]
+        place = nth[some] - before_it[queue[some]]
         for left, l, r in reversed(path):
             from_left, l, r = left[at], np.maximum(l[at], 1), r[at]
             n = l + r
             # ceil((place + 1) n / l) - 1 from the left, floor(place n / r) from the right
             up = np.where(from_left, -divide(-(place + 1), n, l) - 1, divide(place, n, np.maximum(r, 1)))
             place = np.where(from_left & (r == 0), place, up)
-        out[some] = given[p].sum() + place
+        out[some] = before_it.sum() + place
     return out
 
 
-def pieces(start: np.ndarray, n: np.ndarray, queue: np.ndarray, totals: np.ndarray, given: np.ndarray, window: int = WINDOW,
+def pieces(start: np.ndarray, n: np.ndarray, queue: np.ndarray, totals: np.ndarray, order: Plan, window: int = WINDOW,
            quantum: int = QUANTUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, offset in it, length, place in the stream) of each piece of documents at `start` of their queues."""
     quanta = totals // quantum
@@ -143,7 +164,7 @@ def pieces(start: np.ndarray, n: np.ndarray, queue: np.ndarray, totals: np.ndarr
     rest = nth >= quanta[queue[doc]]
     place = np.zeros(len(doc), dtype=np.int64)
     whole = np.flatnonzero(~rest)
-    place[whole] = places(given, queue[doc[whole]], nth[whole]) * quantum
+    place[whole] = places(order, queue[doc[whole]], nth[whole]) * quantum
     rests = totals - quanta * quantum
     place[rest] = quanta.sum() * quantum + (np.cumsum(rests) - rests)[queue[doc[rest]]]
     place += low - nth * quantum
@@ -178,13 +199,13 @@ def pack(docs: DataFrame, path: str, weights: dict[str, float] | None = None, wi
     placed = before(rows, ["queue"], ["doc_id", "ids"], "n", "at", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(chunks)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, totals, given = shared.value
+        number, totals, order = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 queue = np.array([number[q] for q in part.column("queue").to_pylist()], dtype=np.int64)
                 n = part.column("n").to_numpy()
-                doc, start, length, place = pieces(part.column("at").to_numpy(), n, queue, totals, given, window, quantum)
+                doc, start, length, place = pieces(part.column("at").to_numpy(), n, queue, totals, order, window, quantum)
                 raw = part.column("ids").to_pylist()
                 sums, last, ids = [], -1, memoryview(b"")
                 for d, a, k in zip(doc.tolist(), (4 * start).tolist(), (4 * length).tolist()):

@@ -69,6 +69,14 @@ def test_language_id(spark, empty):
     assert got == {(3, "und", 0.0), (4, "und", 0.0)}
 
 
+def test_training_rows_are_bounded_without_ids(spark):
+    """Rows with a null doc_id are thinned like others, not all kept or all left out."""
+    rows = docs(spark, [(None, f"the house number {chr(97 + i % 26)}{chr(97 + i // 26)}", "en", "a") for i in range(600)])
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    assert 20 < rows.where(draw < 100 / 600).count() < 200
+    assert set(language.train(rows, 100)) == {"en"}
+
+
 def by_loops(text):
     """The profile of a text, letter by letter and bit by bit."""
     letters = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
@@ -325,12 +333,34 @@ def test_packing_keeps_the_mixture():
         assert all(abs(inside[queue == q].sum() - end * share) <= 3 * packing.QUANTUM for q, share in enumerate((0.7, 0.2, 0.1)))
 
 
+@pytest.mark.parametrize("queues", [10, 65, 200, 1000])
+def test_packing_shares_with_any_number_of_queues(queues):
+    """Until a queue is dry its share of what is packed is that of its weight, however many run dry before it."""
+    rnd = np.random.default_rng(queues)
+    totals, weights = rnd.integers(20_000, 200_000, queues), rnd.random(queues) + 0.2
+    queue, _, _, length, place = packed(totals, weights)
+    dry = totals // packing.QUANTUM * packing.QUANTUM / weights
+    for k in np.argsort(dry)[:: max(1, queues // 12)]:
+        t = dry[k]
+        want = np.where(dry <= t, totals // packing.QUANTUM * packing.QUANTUM, t * weights)
+        got = np.bincount(queue, weights=np.minimum(np.maximum(int(want.sum()) - place, 0), length), minlength=queues)
+        assert np.abs(got - want).max() <= 14 * packing.QUANTUM
+        assert got[k] >= 0.9 * want[k]
+
+
 def test_packing_of_rare_and_many_sources():
     queue, doc, offset, length, place = packed([10_000_000, 1000])
     assert sorted(length[queue == 1])[1:] == [256, 256, 256] or len(length[queue == 1]) <= 6  # quanta, but for ends of documents
     rnd = np.random.default_rng(3)
     totals, weights = rnd.integers(2000, 20_000, 5000), rnd.random(5000) + 0.1
     queue, _, _, length, place = packed(totals, weights)
+    # and until any later one is: those that are not dry keep to their weights, the others have given all
+    for share in (0.2, 0.5, 0.9, 0.99):
+        t = np.quantile(totals / weights, share)
+        want = np.minimum(totals // packing.QUANTUM * packing.QUANTUM, np.floor(t * weights))
+        end = int(want.sum())
+        got = np.bincount(queue, weights=np.minimum(np.maximum(end - place, 0), length), minlength=5000)
+        assert np.abs(got - want).max() <= 16 * packing.QUANTUM
     first_dry = (totals / weights).min()
     end = int(first_dry * weights.sum())  # until the first queue is dry all have their targets
     got = np.bincount(queue, weights=np.minimum(np.maximum(end - place, 0), length), minlength=5000)
