@@ -7,7 +7,8 @@ a time in the lanes of 64-bit integers, so a slice of a partition is a few passe
 `edited` also fingerprints each text with its tail replaced by the head of the next document, in descending doc_id.
 Rows are partitioned by ranges of doc_id and read in order as a stream, so no task sees more than its range and memory
 is one slice.  The last row of a range needs the first of the range that follows: each task gives these two rows out as
-they are, and the few pairs, one per range, are put together afterwards.
+they are, with the range's number, and each last row is joined with the first one of the next range that has rows, so
+that no task has more than its share of them.
 
 `within` finds pairs of fingerprints in permuted block tables: with radius + t blocks, t at least are equal in any such
 pair, so each fingerprint is filed under every choice of t blocks.  A key shared by more than `SMALL` fingerprints is not
@@ -28,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -105,25 +107,26 @@ def _compared(ids: list, texts: list[str]) -> pa.RecordBatch:
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a range in order; its first and its last row come as they are, with `edge` 0 and 1."""
+    """Rows of a range in order; its first and its last row come as they are, with `edge` 0 and 1 and the range's number."""
+    number = TaskContext.get().partitionId()
 
-    def row(edge: int, doc_id, tie: int, text: str) -> pa.RecordBatch:
-        values = [doc_id, *[None] * (len(NAMES) - 1), edge, tie, text]
-        return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(values, kinds)], names=[*NAMES, "edge", "tie", "text"])
+    def row(edge: int, doc_id, text: str) -> pa.RecordBatch:
+        values = [doc_id, *[None] * (len(NAMES) - 1), edge, number, text]
+        return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(values, kinds)], names=[*NAMES, "edge", "range", "text"])
 
-    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.int32(), pa.int64(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.int32(), pa.int32(), pa.string()]
     last: tuple | None = None
     for batch in batches:
         for part in textops.slices(batch, "text"):
-            ids, ties, texts = (part.column(c).to_pylist() for c in ("doc_id", "tie", "text"))
+            ids, texts = (part.column(c).to_pylist() for c in ("doc_id", "text"))
             if last is None:
-                yield row(0, ids[0], ties[0], texts[0])
+                yield row(0, ids[0], texts[0])
             else:
-                ids, texts = [last[0], *ids], [last[2], *texts]
-            last = ids[-1], ties[-1], texts[-1]
+                ids, texts = [last[0], *ids], [last[1], *texts]
+            last = ids[-1], texts[-1]
             if len(ids) > 1:
                 done = _compared(ids, texts)
-                yield pa.RecordBatch.from_arrays([*done.columns, *[pa.nulls(done.num_rows, t) for t in kinds[-3:]]], names=[*NAMES, "edge", "tie", "text"])
+                yield pa.RecordBatch.from_arrays([*done.columns, *[pa.nulls(done.num_rows, t) for t in kinds[-3:]]], names=[*NAMES, "edge", "range", "text"])
     if last is not None:
         yield row(1, *last)
 
@@ -133,12 +136,12 @@ def edited(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     order = (F.col("doc_id").desc_nulls_last(), F.col("tie"))
     ranges = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = cut(in_batches(ranges, _stream, OUT + ", edge int, tie long, text string"))
-    # two rows a range: each last row is followed by the first row of the next range, the very last by the very first
-    edges = found.where("edge is not null").select("doc_id", "tie", "edge", "text")
-    every = Window.orderBy(*order, "edge")
-    next_text = F.coalesce(F.lead("text").over(every), F.first("text").over(every))
-    pairs = edges.withColumn("after", next_text).where("edge = 1").select("doc_id", "text", "after")
+    found = cut(in_batches(ranges, _stream, OUT + ", edge int, range int, text string"))
+    # the last row of a range is followed by the first row of the next range that has any, the very last by the very first
+    firsts, lasts = found.where("edge = 0").select(F.col("range").alias("_next"), F.col("text").alias("after")), found.where("edge = 1").select("range", "doc_id", "text")
+    every = Window.orderBy("range")  # numbers of ranges only
+    follows = found.where("edge = 0").select("range").withColumn("_next", F.coalesce(F.lead("range").over(every), F.first("range").over(every)))
+    pairs = lasts.join(follows, "range").join(firsts, "_next").select("doc_id", "text", "after")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
