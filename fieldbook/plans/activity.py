@@ -12,7 +12,7 @@ from fieldbook.plans.links import PROBED, report
 from fieldbook.plans.outreach import AS_OF, SAVED, saved, today
 from fieldbook.plans.registry import fill, query, values
 from fieldbook.plans.text import DISPLAY, FIRSTS, PHONES_SQL
-from fieldbook.sources.tables import CONTACTS, RESOURCES, TAXONOMY_SQL, contacts, resources, table, taxonomy
+from fieldbook.sources.tables import CONTACTS, RESOURCES, TAXONOMY, TAXONOMY_SQL, contacts, resources, table, taxonomy
 
 # fixed values: what a link's status is called
 STATUS_LABELS = [("live", "Link live"), ("dead", "Link dead"), ("uncertain", "Link uncertain"), ("off-topic", "Off-topic link"), ("invalid", "Invalid link")]
@@ -175,16 +175,18 @@ def random_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources(spark, sf_dir).where(F.col("published")).orderBy(draw, "id").limit(1).select("id", "name")
 
 
-@query(f"""with {RESOURCES} select id, 'q=' || replace(replace(replace(name, '%', '%25'), ' ', '%20'), '#', '%23') || case when priority > 0 then '&priorityOnly=true' else '' end || case when category <> 'uncategorised' then '&category=' || category else '' end as query,
-  name as q, priority > 0 as priority_only, case when category = 'uncategorised' then 'all' else category end as category from resources""")
+SLUGS = ", ".join(repr(slug) for slug, _ in TAXONOMY)
+
+
+@query(f"""with {RESOURCES} select id, 'q=' || replace(replace(replace(name, '%', '%25'), ' ', '%20'), '#', '%23') || case when priority > 0 then '&priorityOnly=true' else '' end || '&category=' || category as query,
+  name as q, priority > 0 as priority_only, case when category in ({SLUGS}) then category else 'all' end as category from resources""")
 def query_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search as a query string, defaults left out, and what is read back from it."""
+    """A search as a query string and what is read back from it: a category outside the taxonomy is read as all."""
     rows = resources(spark, sf_dir)
-    said = F.concat(F.lit("q="), encode.uri_component(F.col("name")), F.when(F.col("priority") > 0, "&priorityOnly=true").otherwise(""),
-                    F.when(F.col("category") != "uncategorised", F.concat(F.lit("&category="), "category")).otherwise(""))
+    said = F.concat(F.lit("q="), encode.uri_component(F.col("name")), F.when(F.col("priority") > 0, "&priorityOnly=true").otherwise(""), F.lit("&category="), "category")
     parts = F.str_to_map("query", F.lit("&"), F.lit("="))
-    return rows.select("id", said.alias("query")).select("id", "query", F.url_decode(parts["q"]).alias("q"), F.coalesce(parts["priorityOnly"] == "true", F.lit(False)).alias("priority_only"),
-                                                         F.coalesce(parts["category"], F.lit("all")).alias("category"))
+    known = F.when(parts["category"].isin([slug for slug, _ in TAXONOMY]), parts["category"]).otherwise("all")
+    return rows.select("id", said.alias("query")).select("id", "query", F.url_decode(parts["q"]).alias("q"), F.coalesce(parts["priorityOnly"] == "true", F.lit(False)).alias("priority_only"), known.alias("category"))
 
 
 @query(f"""with {CONTACTS}, legacy as (select c_custkey as resource_id, date '2024-01-01' + (c_custkey % 40)::int as day from customer),

@@ -20,12 +20,12 @@ WEEKS = f"""{CONTACTS}, w as (select w, count(id) as n from (select unnest(range
 USERS = f"""{CONTACTS}, w as (select resource_id, (date '{AS_OF}' - day) // 7 as w, count(*) as n from contacts where day <= date '{AS_OF}' and (date '{AS_OF}' - day) < 56 and method = 'signup' group by all)"""
 
 
-@query(f"""with {WEEKS} select 7 - w as bucket, strftime(date '{AS_OF}' - (w * 7 + 6)::int, '%b %-d') as label, n, sum(n) over ()::bigint as total, greatest(1, max(n) over ()) as scale from w""")
+@query(f"""with {WEEKS} select 7 - w as bucket, strftime(date '{AS_OF}' - (w * 7 + 6)::int, '%b %-d') as label, strftime(date '{AS_OF}' - (w * 7 + 6)::int, '%b %-d, %Y') as dated, n, sum(n) over ()::bigint as total, greatest(1, max(n) over ()) as scale from w""")
 def weekly_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight weeks that end today, oldest first, empty ones included."""
     weeks = outreach.weekly(contacts(spark, sf_dir), "day", today())
     totals = weeks.agg(F.sum("n").alias("total"), F.greatest(F.lit(1), F.max("n")).alias("scale"))
-    return weeks.crossJoin(F.broadcast(totals)).select("bucket", F.date_format("begins", "MMM d").alias("label"), "n", "total", "scale")  # eight rows by one
+    return weeks.crossJoin(F.broadcast(totals)).select("bucket", F.date_format("begins", "MMM d").alias("label"), F.date_format("begins", "MMM d, yyyy").alias("dated"), "n", "total", "scale")  # eight rows by one
 
 
 STREAK = """list_reduce({0}, lambda a, n: case when a % 2 = 1 then a when n > 0 then a + 2 when a > 0 then a + 1 else a end, 0) // 2"""
