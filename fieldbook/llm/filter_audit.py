@@ -132,11 +132,11 @@ def text_failures(docs: DataFrame) -> DataFrame:
     spaced = docs.select(F.col("doc_id").cast("long"), F.coalesce("source", F.lit("")).alias("part"), text.alias("text"))
     # the split is a column of its own, so that it is made once; a text without a word splits into one empty string
     split = spaced.withColumn("words", F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), SPACE))
-    n = F.when(F.col("words")[0] == "", 0).otherwise(F.size("words"))
-    distinct = F.when(F.col("words")[0] == "", 0).otherwise(F.size(F.array_distinct("words")))
-    capitals = F.length(F.regexp_replace("text", "[^A-Z]", ""))
+    count = lambda words: F.when(F.col("words")[0] == "", 0).otherwise(F.size(words)).cast("long")
+    n, distinct = count("words"), count(F.array_distinct("words"))
+    capitals = F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("long")
     flagged = split.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), (n < 200).alias("A"), (100 * distinct < 50 * n).alias("B"),
-                           (100 * capitals > 2 * F.length("text")).alias("C"), F.col("text").rlike(r"[#$%&*|]").alias("D"))
+                           (100 * capitals > 2 * F.length("text").cast("long")).alias("C"), F.col("text").rlike(r"[#$%&*|]").alias("D"))
     return repeats(flagged, "digest", "doc_id", "E").drop("digest")
 
 
