@@ -41,7 +41,8 @@ def event_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rate_limit as a stream: attempts come shuffled in four micro-batches, each up to a batch late; two in six hours per user.
 
-    A last row, later than all others by more than what may be late, moves the watermark past them; it is never decided.
+    A micro-batch is what has come since the last run of the stream, in as many files as there are tasks.  A last row,
+    later than all others by more than what may be late, moves the watermark past them; it is never decided.
     """
     attempts = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")).where("ts is not null and key is not null")
     first, last = attempts.agg(F.min("ts"), F.max("ts")).first()
@@ -49,14 +50,13 @@ def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     if first is not None:
         width = int((last - first).total_seconds() / (BATCHES - 1)) + 1
         turn = F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lit(first))) / width) + F.pmod(F.xxhash64("id"), F.lit(2))
-        for k in range(BATCHES):
-            attempts.where(turn == k).repartition(1, "key").sortWithinPartitions(F.xxhash64("id")).write.mode("append").parquet(f"{path}/in")  # a file is a micro-batch
         end = spark.createDataFrame([(-1, -1, last + timedelta(seconds=3 * width + 2 * 6 * 3600))], attempts.schema)
-        end.coalesce(1).write.mode("append").parquet(f"{path}/in")
-        source = spark.readStream.schema(attempts.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        with events.stateful(spark):
-            running = (events.limited(source, 6 * 3600, 2, f"{width + 1} seconds").writeStream.format("parquet").option("path", f"{path}/out")
-                       .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
-        running.awaitTermination()
+        for come in [*[attempts.where(turn == k).sortWithinPartitions(F.xxhash64("id")) for k in range(BATCHES)], end.coalesce(1)]:
+            come.write.mode("append").parquet(f"{path}/in")
+            source = spark.readStream.schema(attempts.schema).parquet(f"{path}/in")
+            with events.stateful(spark):
+                running = (events.limited(source, 6 * 3600, 2, f"{width + 1} seconds").writeStream.format("parquet").option("path", f"{path}/out")
+                           .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
+            running.awaitTermination()
     done = spark.read.schema("id long, key long, accepted boolean").parquet(f"{path}/out") if first is not None else attempts.selectExpr("id", "key", "true as accepted")
     return done.select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "accepted")

@@ -135,6 +135,20 @@ def test_limiter_state_is_bounded():
     assert got == want and not handle.waiting and len(handle.live) <= 5 and handle.most <= 3600 // events.SPANS // 7 + 2
 
 
+def test_limiter_reads_a_sparse_key_once():
+    """Rows days apart are no states of their own: a micro-batch of a key reads and writes one piece and sets one timer."""
+    import pandas as pd
+
+    handle, one = Handle(), events.Limiter(3600, 1)
+    one.init(handle)
+    day = 86_400_000_000
+    at = [9 * day, 2 * day, 2 * day + 1, *[k * day for k in range(3, 9)]]
+    assert list(one.handleInputRows((1,), iter([pd.DataFrame({"id": range(9), "micros": at})]), None)) == []
+    assert len(handle.waiting) == 1 and handle.timers == {9 * day // 1000 + 1}
+    out = list(one.handleExpiredTimer((1,), None, type("T", (), {"getExpiryTimeInMs": lambda s: 9 * day // 1000 + 1})()))
+    assert [i for x in out for i in x["id"]] == [1, 2, 3, 4, 5, 6, 7, 8, 0] and [a for x in out for a in x["accepted"]] == [True, False, *[True] * 7] and not handle.waiting
+
+
 def lines_of(spark, given):
     rows = [(i, p, json.dumps(x) if isinstance(x, dict) else x) for i, xs in given.items() for p, x in enumerate(xs)]
     return spark.createDataFrame(rows, "import_id long, place long, line string")
