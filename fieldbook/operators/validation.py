@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from fieldbook.functions.text import strip
+from fieldbook.functions.text import once, strip
 
 
 #: A time in UTC; seconds may be left out.
@@ -48,13 +48,18 @@ def errors(line: Column, fields: dict[str, Field], partial: bool = False) -> Col
 
     In a partial line every field may be left out.
     """
-    parsed = F.try_parse_json(line)
+    # each line is parsed once, whatever the number of fields
+    whole = F.struct(F.try_parse_json(line).alias("parsed"), F.json_object_keys(line).alias("keys"))
+    return once(whole, lambda x: _errors(x["parsed"], x["keys"], fields, partial))
+
+
+def _errors(parsed: Column, keys: Column, fields: dict[str, Field], partial: bool) -> Column:
     found = []
     for name, field in fields.items():
         kind = F.schema_of_variant(F.variant_get(parsed, f"$.{name}", "variant"))
         fine = (F.when(kind.isNull(), F.lit(partial or not field.required)).when(kind == "VOID", F.lit(field.nullable))
                 .otherwise(F.coalesce(_holds(parsed, name, field), F.lit(False))))
         found.append(F.when(~fine, F.lit(name)))
-    other = F.array_except(F.json_object_keys(line), F.array(*[F.lit(n) for n in fields]))
+    other = F.array_except(keys, F.array(*[F.lit(n) for n in fields]))
     found.append(F.when(F.size(other) > 0, F.lit("unknown keys")))
-    return F.when(F.json_object_keys(line).isNull(), F.array(F.lit("not an object"))).otherwise(F.array_compact(F.array(*found)))
+    return F.when(keys.isNull(), F.array(F.lit("not an object"))).otherwise(F.array_compact(F.array(*found)))

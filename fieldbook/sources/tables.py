@@ -29,12 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows over as many tasks as there are cores, if they are read in fewer: for costly work on texts.
+    """rows over all cores, if they are read by fewer tasks or unevenly: for costly work on texts and lines.
 
-    Such a table is a few row groups; one of many splits is left as it is.
+    A file's splits say little of that, as all rows of a row group come with one of them; so the rows that each task
+    reads are counted.  Rows are dealt by their number, which needs no sorting, into several parts a core.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    read = rows.select(F.spark_partition_id().alias("task")).groupBy("task").count()
+    tasks, most, whole = read.agg(F.count(F.lit(1)), F.max("count"), F.sum("count")).first()
+    if tasks >= cores and most * cores <= 2 * whole:
+        return rows
+    return rows.withColumn("_row", F.monotonically_increasing_id()).repartition(4 * cores, "_row").drop("_row")
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
