@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from fieldbook.functions.patterns import SPACE, java
+from fieldbook.functions.patterns import BLANKS, FOLDED, java
 
 # fixed values: telephone keypad, words that are no part of a number, what separates numbers, a valid address
 KEYPAD = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "22233344455566677778889999")
@@ -31,26 +31,28 @@ ARTIFACTS = (
 #: What a text has to contain for each of these steps to change it; "" where nothing plain is needed.  The last two steps
 #: only take out white space next to other white space or at an end, which folding it afterwards does as well.
 NEEDS = ("【", "[L", "", "#", "**", "*", "**", "*", "")
+#: What a match of each of these steps begins with, as in a bracket.
+STARTS = ("【", r"\[", r"=\-_*~", "#", "^!-~", "*", "*", "*", "-•")
 # fixed values: tags that are bookkeeping, not for readers
 INTERNAL_TAGS = r"(?i)^master_extract$|^deduplicated|^ri-\d+|^final_|^source:|^validation:"
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.when(text != "", text)
-
-
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with the value computed once however often f mentions it."""
     return F.transform(F.array(value), lambda v: f(v))[0]
 
 
+def blank_to_null(text: Column) -> Column:
+    return once(text, lambda t: F.when(t != "", t))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def squash(text: Column) -> Column:
     """Runs of white space become one space; nothing left is null."""
-    return blank_to_null(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")))
+    return blank_to_null(F.trim(F.regexp_replace(text, FOLDED, " ")))
 
 
 def clean_artifacts(text: Column) -> Column:
@@ -58,18 +60,23 @@ def clean_artifacts(text: Column) -> Column:
 
     A step is passed over where a text has not the plain part (`NEEDS`) of what it looks for.
     """
-    for (pattern, replacement), need in zip(ARTIFACTS, NEEDS):
-        text = once(text, lambda t, p=java(pattern), r=replacement, n=need: F.when(t.contains(n), F.regexp_replace(t, p, r)).otherwise(t) if n else F.regexp_replace(t, p, r))
+    for (pattern, replacement), need, first in zip(ARTIFACTS, NEEDS, STARTS):
+        text = once(text, lambda t, p=java(pattern, first), r=replacement, n=need: F.when(t.contains(n), F.regexp_replace(t, p, r)).otherwise(t) if n else F.regexp_replace(t, p, r))
     return squash(text)
 
 
 def phones(raw: Column) -> Column:
-    """All 7- and 10-digit numbers of a text in order, each once; letters count as keypad digits."""
-    bare = F.regexp_replace(raw, java(r"(?i)\b(?:" + "|".join(ANNOTATIONS) + r")\b"), " ")
-    digits = F.transform(F.split(bare, java(SEPARATORS)),
-                         lambda s: F.regexp_replace(F.translate(F.upper(s), *KEYPAD), "[^0-9]", ""))
-    local = F.transform(digits, lambda d: F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d))
-    return F.array_distinct(F.filter(local, lambda d: F.length(d).isin(7, 10)))
+    """All 7- and 10-digit numbers of a text in order, each once; letters count as keypad digits.
+
+    Every step is one pass over the whole text; only what has a number's length is cut out and turned into digits.
+    """
+    initials = "".join(sorted({a[0] for a in ANNOTATIONS}))
+    bare = F.regexp_replace(raw, java(r"(?i)\b(?:" + "|".join(ANNOTATIONS) + r")\b", initials), " ")
+    parted = F.regexp_replace(bare, java(r"(?i)\b(?:or|and)\b", "ao"), ";")
+    keys = F.split(F.regexp_replace(F.upper(parted), f"[^{KEYPAD[0]}0123456789;/,]+", ""), "[;/,]")  # characters said one by one are a table, ranges a chain of comparisons
+    long = F.filter(keys, lambda s: F.length(s).isin(7, 10) | ((F.length(s) == 11) & s.startswith("1")))
+    digits = F.transform(long, lambda s: F.translate(F.when(F.length(s) == 11, F.substring(s, 2, 10)).otherwise(s), *KEYPAD))
+    return F.array_distinct(digits)
 
 
 def phone(raw: Column) -> Column:
@@ -85,7 +92,7 @@ def phone_display(number: Column) -> Column:
 
 def email(raw: Column) -> Column:
     """Lower-case address from the first two parts at an @ sign; null if it is none."""
-    parts = F.split(F.lower(strip(raw)), "@")
+    parts = F.split(F.lower(strip(F.when(raw.contains("@"), raw))), "@")  # most texts have none
     local, domain = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
     whole = F.concat(strip(local), F.lit("@"), strip(domain))
     return F.when((local != "") & (domain != "") & whole.rlike(java(EMAIL)), whole)

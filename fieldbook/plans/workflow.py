@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from fieldbook.functions.patterns import re2
 from fieldbook.operators import changes, limiter, membership, toggles
 from fieldbook.plans.registry import query
-from fieldbook.plans.text import SAMPLES, clean_sql, redact_sql, values
+from fieldbook.plans.text import SAMPLES, clean_sql, docs, redact_sql, values
 from fieldbook.functions import privacy, text
 from fieldbook.sources.tables import CONTACTS, RESOURCES, REVIEWS, TAXONOMY, USED, contacts, resources, reviews, table
 
@@ -76,8 +76,8 @@ CLEANED = clean_sql(redact_sql("text"))
 @query(f"with {DOCS} select doc_id, sha256({CLEANED}) as sha256, length(text) - coalesce(length({CLEANED}), 0) as removed from docs where text is distinct from {CLEANED}")
 def cleanup_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the texts that cleaning changes; both versions come from one pass, so there is no join."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(SAMPLES, "doc_id long, text string"))
-    fresh = rows.withColumn("fresh", text.clean_artifacts(privacy.redact(F.col("text")))).where(~F.col("text").eqNullSafe(F.col("fresh")))
+    cleaned = F.explode(F.array(text.clean_artifacts(privacy.redact(F.col("text")))))  # a filter on what is generated is not pushed below it, which would clean twice
+    fresh = docs(spark, sf_dir).withColumn("fresh", cleaned).where(~F.col("text").eqNullSafe(F.col("fresh")))
     return fresh.select("doc_id", F.sha2("fresh", 256).alias("sha256"), (F.length("text") - F.coalesce(F.length("fresh"), F.lit(0))).cast("long").alias("removed"))
 
 
