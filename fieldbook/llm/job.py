@@ -70,9 +70,9 @@ def cut(df: DataFrame) -> DataFrame:
     return released(df).checkpoint(eager=True)
 
 
-def bitmap(ids: DataFrame, columns: list[str], bits: int) -> np.ndarray:
-    """Bits of the hashed ids: bits / 8 bytes whatever their number, so it may be broadcast."""
-    spot = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1  # buckets and positions begin at 1
+def bitmap(ids: DataFrame, columns: list[str], bits: int, spot: Column | None = None) -> np.ndarray:
+    """Bits of the hashed ids (or of `spot`, their place): bits / 8 bytes whatever their number, so it may be broadcast."""
+    spot = (F.pmod(F.xxhash64(*columns), F.lit(bits)) if spot is None else spot) + 1  # buckets and positions begin at 1
     spots = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
     rows = released(spots.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))).collect()
     out = np.zeros(bits // 8 + 8192, dtype=np.uint8)

@@ -1,19 +1,28 @@
 """Line deduplication by a segment-partition edit join.
 
-A line that is not blank is removed where an equal line occurs earlier in the corpus (by doc_id, then place), or one at
-edit distance 1 if the longer of the two has at least `NEAR_CHARS` code points; blank lines stay as they are.
+A line that is not blank is removed where an equal line occurs earlier in the corpus (by doc_id, then place), or one within
+`edits(n)` edits, n being the code points of the longer of the two: one edit from `NEAR_CHARS` on, two from 52, and one more
+whenever the length doubles, without an end; blank lines stay as they are.
 
 1. Equal lines are one entry, with their first occurrence.
-2. With threshold 1 a line is split into two segments.  If two lines are within one edit, the longer one has one of the
+2. Lines of less than `TWO` code points: with threshold 1 a line is split into two segments.  If two lines are within one edit, the longer one has one of the
    shorter one's segments at its beginning or end: a line is filed under its own length, and probes the index of its own
    length and the next smaller one, by hashes of (length, prefix, suffix).  One of `NEAR_CHARS` - 1 is only filed: it
    can be near a longer one, but not near another of its own length.
-3. Entries with a key in common are verified by a banded bit-parallel edit distance.
+3. Entries with a key in common are verified by an edit distance on the diagonals of a band.
 4. A key shared by more than `SMALL` lines is never paired off.  Its lines differ only in the gap between the shared
    prefix and suffix; the gap is cut into `PARTS` parts, a single edit lies in one of them, so the lines are filed again
    under keys that leave out one part at a time.  Keys of one line are dropped, small groups are verified as above, and
    large ones are cut again, until the gap is a single character: then all lines of a key are within one edit of each
    other and the later ones go.  The work is linear in the number of lines, and no pair is lost.
+5. Longer lines, with threshold k: k + 1 segments of a length that depends on k alone, the first half of them counted from
+   the line's beginning, the others from its end.  One segment of the shorter line is untouched, has at most j edits
+   on its own side if it is the j-th from there (from 0), and k - j on the other: so the longer line has it at most j places from
+   where it was, and probes 2 j + 1 places.  A line is filed for the next k too where a line of the next k can be near it.
+   Most keys are of one line only: keys are counted first, and the others made again with the lines' places.
+6. Lines with such a key in common are paired and verified if they are at most `SMALL`; more are dealt into parts, and each
+   two parts meet in one task (`tile`), which verifies what letters and lengths allow and returns lines, not pairs.  That is
+   quadratic in the lines of one key, but bounded in memory and distributed.
 
 Lines move as hashes; text is read again only for lines that need it, by a fixed-size bitmap.
 
@@ -39,48 +48,62 @@ MIN_CHARS = 1
 NEAR_CHARS = 24
 SMALL = 32
 PARTS = 8
+#: From so many code points on two edits are allowed.
+TWO = 52
+#: Lines of a part, where more than SMALL have a key in common.
+TILE = 128
 BITMAP = 1 << 24
+KEY_BITMAP = 1 << 26
 U64 = np.uint64
 SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
+#: By code point: its hash, for the usual ones, and whether it is no white space.
+MIXED = textops.mix(np.arange(1, (1 << 16) + 1, dtype=U64))
+SOLID = ~np.isin(np.arange(0x3002), SPACES)
 ID = ["doc_id", "mark", "pos"]
 
 
+def edits(n: int) -> int:
+    """The edits by which lines may differ, the longer of which has n code points: grows with the length, without an end."""
+    return 0 if n < NEAR_CHARS else max(1, (n // (TWO // 2)).bit_length())
+
+
+def segment(k: int) -> int:
+    """The length of the k + 1 segments of lines with threshold k: they all find room in the shortest line of a pair."""
+    return ((TWO >> 1 << k - 1) - k) // (k + 1)
+
+
+def reach(a: str, b: str, i: int, j: int) -> int:
+    """How many characters of a from i and of b from j agree."""
+    most, same = min(len(a) - i, len(b) - j), 0
+    if most < 1 or a[i] != b[j]:
+        return 0
+    while same + 64 <= most and a[i + same : i + same + 64] == b[j + same : j + same + 64]:
+        same += 64
+    for step in (32, 16, 8, 4, 2, 1):
+        if same + step <= most and a[i + same : i + same + step] == b[j + same : j + same + step]:
+            same += step
+    return same
+
+
 def within(a: str, b: str, k: int) -> bool:
-    """Whether the edit distance of a and b is at most k: an automaton on the 2k + 1 diagonals of the band, in bits."""
-    if abs(len(a) - len(b)) > k:
+    """Whether the edit distance of a and b is at most k: how far one comes with e edits on each of the 2k + 1 diagonals of the band."""
+    goal = len(b) - len(a)
+    if abs(goal) > k:
         return False
-    start, end = 0, 0
-    short = min(len(a), len(b))
-    while start + 64 <= short and a[start : start + 64] == b[start : start + 64]:
-        start += 64
-    while start < short and a[start] == b[start]:
-        start += 1
-    while end + 64 <= short - start and a[len(a) - end - 64 : len(a) - end] == b[len(b) - end - 64 : len(b) - end]:
-        end += 64
-    while end < short - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
-    band = (1 << (2 * k + 1)) - 1
-    # state[e]: the diagonals j - i + k that can be reached with at most e edits
-    state = [((1 << (e + 1)) - 1) << k & band & ((1 << (len(b) + k + 1)) - 1) for e in range(k + 1)]
-    for i, c in enumerate(a):
-        low = i - k
-        match = 0
-        for d in range(2 * k + 1):
-            j = low + d
-            if 0 <= j < len(b) and b[j] == c:
-                match |= 1 << d
-        inside = band & ((1 << max(0, len(b) - i - 1 + k + 1)) - 1)
-        new: list[int] = []
-        for e in range(k + 1):
-            bits = state[e] & match
-            if e:
-                bits |= state[e - 1] | state[e - 1] >> 1 | new[e - 1] << 1
-            new.append(bits & inside)
-        if not new[k]:
-            return False
-        state = new
-    return bool(state[k] >> (len(b) - len(a) + k) & 1)
+    far: dict[int, int] = {}
+    for e in range(k + 1):
+        new: dict[int, int] = {}
+        # a diagonal from which the goal cannot be reached with the edits left is passed over
+        for d in range(max(-e, goal - (k - e)), min(e, goal + (k - e)) + 1):
+            i = max(far.get(d, -1) + 1, far.get(d - 1, -1), far.get(d + 1, -2) + 1) if e else 0
+            i = min(i, len(a), len(b) - d)
+            if i < 0 or i + d < 0:
+                continue
+            new[d] = i + reach(a, b, i, i + d)
+        if new.get(goal, -1) >= len(a):
+            return True
+        far = new
+    return False
 
 
 class Lines:
@@ -95,9 +118,9 @@ class Lines:
         per_text = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
         self.row = np.repeat(np.arange(len(texts)), per_text)
         self.pos = np.arange(len(self.row)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        self.prefix = textops.rolling(textops.mix(codes.astype(U64) + U64(1)))
+        self.prefix = textops.rolling(MIXED[codes] if not len(codes) or codes.max() < len(MIXED) else textops.mix(codes.astype(U64) + U64(1)))
         self.chars = self.ends - self.starts
-        seen = np.concatenate([[0], np.cumsum(~np.isin(codes, SPACES))])
+        seen = np.concatenate([[0], np.cumsum(SOLID[np.minimum(codes, len(SOLID) - 1)], dtype=np.int32)])
         self.blank = seen[self.ends] == seen[self.starts]
 
     def id_hashes(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +131,25 @@ class Lines:
             other = textops.mix(textops.span_hash(self.prefix, self.starts[some], half) * U64(3) + textops.span_hash(self.prefix, half, self.ends[some]))
         return h.view(np.int64), other.view(np.int64)
 
+    def seeds(self, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, int, bool]]:
+        """Keys of untouched segments: lines (of some), their keys, threshold, place (2 j, or 2 j + 1 from the end), shift, and whether they may be the longer line."""
+        n = self.chars[some]
+        top = edits(int(n.max())) + 1 if len(n) else 0
+        for k in range(2, top + 1):
+            low, size = TWO >> 1 << k - 1, segment(k)
+            for long, mine in ((True, (n >= low) & (n < 2 * low)), (False, (n >= low - k) & (n < low))):
+                at = some[mine]
+                if not len(at):
+                    continue
+                for side, of in ((0, k // 2 + 1), (1, (k + 1) // 2)):
+                    for j in range(of):
+                        for shift in range(-j, j + 1) if long else (0,):
+                            # a shift is to the right from the beginning, and to the left from the end
+                            start = self.starts[at] + j * size + shift if side == 0 else self.ends[at] - (j + 1) * size - shift
+                            with np.errstate(over="ignore"):
+                                key = textops.mix(textops.span_hash(self.prefix, start, start + size) * U64(5) + U64((k << 32) + 2 * j + side) * U64(11))
+                            yield at, key.view(np.int64), k, 2 * j + side, shift, long
+
     def keys(self, some: np.ndarray, base: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
         """Keys of (base length, first a characters, last z characters)."""
         head = textops.span_hash(self.prefix, self.starts[some], self.starts[some] + a)
@@ -197,25 +239,110 @@ def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [within(x, y, 1) for x, y in zip(batch.column("line").to_pylist(), batch.column("earlier_line").to_pylist())]
+        good = [within(x, y, edits(max(len(x), len(y)))) for x, y in zip(batch.column("line").to_pylist(), batch.column("earlier_line").to_pylist())]
         yield batch.select(ID).filter(pa.array(good, type=pa.bool_()))
 
 
+def seeds(docs: DataFrame) -> DataFrame:
+    """key, a line's hash, and whether the key is one that it is filed under."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lines in _slices(batches):
+            some = np.flatnonzero((lines.chars >= TWO - 2) & ~lines.blank)
+            h = np.zeros(len(lines.chars), dtype=np.int64)
+            h[some] = lines.id_hashes(some)[0]
+            found = [(at, key, np.full(len(at), shift == 0)) for at, key, _, _, shift, _ in lines.seeds(some)]
+            if found:
+                at, key, filed = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[at]), pa.array(filed)], names=["key", "h", "filed"])
+
+    return in_batches(_docs(docs), task, "key long, h long, filed boolean")
+
+
+def placed(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The lines that have one of the keys: key, doc_id, mark, pos, chars, k, place, shift, long."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(keys, ["key"], KEY_BITMAP, F.pmod("key", F.lit(KEY_BITMAP))))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, lines in _slices(batches):
+            some = np.flatnonzero((lines.chars >= TWO - 2) & ~lines.blank)
+            found = []
+            for at, key, *said in lines.seeds(some):
+                there = marked(bits.value, key & (KEY_BITMAP - 1))
+                found.append((at[there], key[there], *[np.full(int(there.sum()), x, dtype=np.int32) for x in said]))
+            if found:
+                at, key, k, place, shift, long = (np.concatenate(x) for x in zip(*found))
+                row = pa.array(lines.row[at])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), part.column("doc_id").take(row), part.column("mark").take(row), pa.array(lines.pos[at]), pa.array(lines.chars[at]), pa.array(k), pa.array(place), pa.array(shift), pa.array(long.astype(bool))],
+                    names=["key", *ID, "chars", "k", "place", "shift", "long"])
+
+    return in_batches(_docs(docs), task, "key long, doc_id long, mark long, pos long, chars long, k int, place int, shift int, long boolean").join(keys.select("key"), "key", "left_semi")
+
+
+def tile(group: pa.Table) -> pa.Table:
+    """The lines of two parts (or one) that have an earlier line within their edits in the other part (or their own)."""
+    group = group.sort_by([(c, "ascending") for c in ID])
+    text, part, plain = group.column("line").to_pylist(), group.column("part").to_numpy(), group.column("plain").to_numpy()
+    # of lines that have an earlier segment in common, in its place, the pair is met in that segment's group
+    k, place = group.column("k")[0].as_py(), group.column("place")[0].as_py()
+    spans = [(side, j * segment(k), (j + 1) * segment(k)) for side, j in ((p & 1, p >> 1) for p in range(place)) if j < (k // 2 + 1, (k + 1) // 2)[side]]
+    ahead = np.array([[hash(t[len(t) - end : len(t) - start] if side else t[start:end]) for side, start, end in spans] for t in text], dtype=np.int64).reshape(len(text), len(spans))
+    n = np.array([len(t) for t in text])
+    letters = np.zeros((len(text), 64), dtype=np.int32)
+    for i, t in enumerate(text):
+        letters[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & 63, minlength=64)
+    one = group.column("a")[0].as_py() == group.column("b")[0].as_py()
+    gone = np.zeros(len(text), dtype=bool)
+    for i in range(1, len(text)):
+        k = edits(int(n[i]))  # at least what the shorter of the two allows; a longer earlier line may allow one more
+        may = (np.abs(n[:i] - n[i]) <= k + 1) & (np.abs(letters[:i] - letters[i]).sum(axis=1) <= 2 * k + 2)
+        if not one:
+            may &= part[:i] != part[i]
+        if plain[i]:
+            may &= ~(plain[:i] & (ahead[:i] == ahead[i]).any(axis=1))
+        gone[i] = any(within(text[i], text[e], edits(max(int(n[i]), int(n[e])))) for e in np.flatnonzero(may))
+    return group.select(ID).filter(pa.array(gone))
+
+
+def later_long_lines(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of lines with more than one edit: pairs to verify (later and earlier), and later lines of large groups, verified."""
+    shared = cut(seeds(docs).groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.bool_or("filed").alias("filed")).where("filed and low <> high").select("key"))
+    live = cut(placed(docs, shared).join(lines.select(*ID), ID, "left_semi"))  # first occurrences
+    sizes = cut(live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    few = live.join(sizes.where(F.col("size") <= SMALL).select("key"), "key")
+    filed = few.where("shift = 0").select("key", *[F.col(c).alias(f"e_{c}") for c in ID], F.col("chars").alias("e_chars"))
+    more = F.col("chars") - F.col("e_chars")
+    pairs = few.where("long").join(filed, "key").where(more.between(0, F.col("k")) & ((F.col("shift") == 0) | (F.abs(more - F.col("shift")) <= F.col("k") - F.shiftright("place", 1))) & (F.struct(*ID) != F.struct("e_doc_id", "e_mark", "e_pos")))
+    # lines with a segment in its place are paired whatever their lengths say of it: `tile` leaves such pairs to the segment's group
+    first = F.struct(*ID) < F.struct("e_doc_id", "e_mark", "e_pos")
+    pairs = pairs.select(*[F.when(first, F.col(f"e_{c}")).otherwise(F.col(c)).alias(c) for c in ID], *[F.when(first, F.col(c)).otherwise(F.col(f"e_{c}")).alias(f"e_{c}") for c in ID])
+    parts = F.ceil(F.col("size") / TILE).cast("int")
+    once = live.groupBy("key", *ID, "k", "place").agg(F.bool_or(F.col("long") & (F.col("shift") == 0)).alias("plain"))
+    many = cut(once.join(sizes.where(F.col("size") > SMALL), "key").select("key", *ID, "k", "place", "plain", parts.alias("parts"), F.pmod(F.xxhash64(*ID), parts).cast("int").alias("part")))
+    if many.isEmpty():
+        return pairs, many.select(*ID)
+    met = many.join(texts_of(docs, many), ID).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", *ID, "k", "place", "plain", "line")
+    met = met.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "key", "a", "b")  # little data, much work
+    return pairs, met.groupBy("key", "a", "b").applyInArrow(tile, "doc_id long, mark long, pos long").distinct()
+
+
 RECORD = "doc_id long, mark long, pos long, short boolean, base long, a long, z long, key long"
 
 
 def later_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The entries (first occurrences) that have an earlier entry within one edit."""
+    """The entries (first occurrences) that have an earlier entry within their edits."""
     half = F.floor(F.col("base") / 2)
     base = lambda short: F.col("chars") - (0 if short else 1)
     slots = F.array(*[F.struct(F.lit(k < 2).alias("short"), base(k < 2).alias("base"), F.lit(k % 2).alias("side"), F.col(f"k{k}").alias("key")) for k in range(4)])
     zero = F.lit(0).cast("long")
-    records = (lines.where(F.col("chars") >= NEAR_CHARS - 1).select(*ID, "chars", F.explode(slots).alias("s")).select(*ID, "chars", "s.*")
+    records = (lines.where(F.col("chars").between(NEAR_CHARS - 1, TWO - 1)).select(*ID, "chars", F.explode(slots).alias("s")).select(*ID, "chars", "s.*")
                .where(F.col("short") | (F.col("chars") >= NEAR_CHARS))
                .select(*ID, "short", "base", F.when(F.col("side") == 0, half).otherwise(zero).alias("a"),
                        F.when(F.col("side") == 0, zero).otherwise(F.col("base") - half).alias("z"), "key"))
-    pairs: list[DataFrame] = []
-    certain: list[DataFrame] = []
+    long_pairs, long_lines = later_long_lines(docs, lines)
+    pairs, certain = [long_pairs], [long_lines]
     while True:
         groups = records.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("short").alias("any_short")).where("size > 1 and any_short")
         live = cut(records.join(groups.select("key", "size"), "key"))

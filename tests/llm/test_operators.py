@@ -185,6 +185,39 @@ def test_line_dedup_of_short_lines(spark):
     assert got == kept and "".join(kept.values()).count("All rights reserved.") == 1
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_line_dedup_of_several_edits(spark, hot):
+    """Every pair within the edits that its longer line allows is found, at all lengths and around those where one more is allowed, in small groups and large ones."""
+    rnd = random.Random(11 + hot)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    head = some(1000)
+
+    def edited(line, k):
+        for _ in range(k):
+            at, kind = rnd.randrange(len(line)), rnd.randrange(3)
+            line = line[:at] + ("" if kind == 0 else rnd.choice("xyz")) + line[at + (kind < 2):]
+        return line
+
+    pool = []
+    for n in (26, 40, 50, 51, 52, 53, 80, 101, 102, 103, 104, 105, 150, 205, 206, 207, 208, 209, 300, 413, 415, 416, 420, 700, 833):
+        for _ in range(1 if hot else 4):
+            line = head[: n * 2 // 3] + some(n - n * 2 // 3) if hot else some(n)
+            pool += [line, *(edited(line, k) for k in range(1, 9))]
+        if hot:
+            pool += [head[: n * 2 // 3] + some(n - n * 2 // 3) for _ in range(12)]
+            pool += [head[:n // 2] + some(4) + head[n // 2 + 4 : n] for _ in range(8)]
+    rnd.shuffle(pool)
+    pool = list(dict.fromkeys(x.strip(" ") + "." for x in pool))
+    table = spark.createDataFrame([(i, "\n".join(pool[i : i + 5])) for i in range(0, len(pool), 5)], "doc_id long, text string")
+    with connect(SF) as db:
+        db.execute("create table l as select unnest($1) as x, unnest($2) as i", [pool, list(range(len(pool)))])
+        near = db.execute("""select a.x, b.x, levenshtein(a.x, b.x) from l a, l b where a.i > b.i and abs(length(a.x) - length(b.x)) <= 6 and levenshtein(a.x, b.x) <= 6""").fetchall()
+    gone = {a for a, b, d in near if d <= lines.edits(max(len(a), len(b)))}
+    assert len({a for a, b, d in near if d > 1 and d <= lines.edits(max(len(a), len(b)))}) > 100 and {d for a, b, d in near if d <= lines.edits(max(len(a), len(b)))} >= {1, 2, 3, 4, 5}
+    got = {x for r in lines.dedup_lines(table).collect() for x in r["text"].split("\n")}
+    assert {x for x in pool if x not in gone} == got - {""}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_banded_edit_distance(seed):
     rnd = random.Random(seed)
