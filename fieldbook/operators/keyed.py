@@ -20,7 +20,7 @@ from fieldbook.sources.published import Manifest
 
 
 class KeyedStore:
-    """The snapshot under `path`.  The number of buckets is fixed with the first batch: rows of one are a task's work."""
+    """The snapshot under `path`.  The number of buckets is fixed with the first batch: a part of one is a task's work, all of it where buckets outnumber shuffle partitions."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], fold: Callable[[DataFrame], DataFrame], buckets: int = 64):
         self.spark, self.path, self.keys, self.fold, self.buckets = spark, path.rstrip("/"), keys, fold, buckets
@@ -38,6 +38,11 @@ class KeyedStore:
             raise ValueError(f"nothing published in {self.path}")
         return self._read(said, sorted(said["buckets"]))
 
+    def _dealt(self, rows: DataFrame, buckets: int) -> DataFrame:
+        """rows shuffled once for both, the fold and the files: by the hash that buckets go by, into a multiple of their number, so that a part lies in one bucket."""
+        wanted = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(buckets * max(1, wanted // buckets), *self.keys)
+
     def apply(self, batch: DataFrame, number: int) -> list[int]:
         """Merges a batch of the snapshot's columns; returns the buckets that were rewritten (none for one applied before).
 
@@ -47,18 +52,19 @@ class KeyedStore:
         if said is not None and number <= said["batch"]:
             return []
         buckets = said["of"] if said else self.buckets
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
-        folded = self.fold(batch).persist()  # the batch is read once: for its buckets, and to be merged
+        by = said.get("by", "xxhash64") if said else "hash"
+        bucket = F.pmod(getattr(F, by)(*self.keys), F.lit(buckets)).cast("int")
+        batch = batch.persist()  # the batch is read once: for its buckets, and to be merged
         try:
-            touched = sorted(r[0] for r in folded.select(bucket.alias("b")).distinct().collect())  # at most `buckets` numbers
+            touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # at most `buckets` numbers
             known = [str(b) for b in touched if said and str(b) in said["buckets"]]
-            rows = self.fold(self._read(said, known).unionByName(folded)) if known else folded
+            rows = self.fold(self._dealt(self._read(said, known).unionByName(batch) if known else batch, buckets))
             target = f"data/{version + 1:012d}"
             if touched:
-                rows.withColumn("_bucket", bucket).repartition(len(touched), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{target}")
+                rows.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{target}")
             now = {**(said["buckets"] if said else {}), **{str(b): f"{target}/_bucket={b}" for b in touched}}
-            self.manifest.publish(version + 1, {"batch": number, "of": buckets, "buckets": now, "schema": rows.schema.jsonValue()})
+            self.manifest.publish(version + 1, {"batch": number, "of": buckets, "by": by, "buckets": now, "schema": rows.schema.jsonValue()})
         finally:
-            folded.unpersist()
+            batch.unpersist()
         self.manifest.clean()
         return touched

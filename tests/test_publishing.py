@@ -68,6 +68,29 @@ def test_unpublished_data_changes_nothing(spark, tmp_path):
     assert len(state(store)) == 3 and Manifest(spark, path).current()[1]["of"] == 4
 
 
+def test_a_batch_is_shuffled_once(spark, tmp_path):
+    """Rows meet by their keys once, for the fold and for the files, and each part of them lies in one bucket."""
+    plans = []
+
+    class Spied(KeyedStore):
+        def _dealt(self, rows, buckets):
+            plans.append((self.fold(super()._dealt(rows, buckets)), super()._dealt(rows, buckets)))
+            return super()._dealt(rows, buckets)
+
+    store = Spied(spark, f"file://{tmp_path}/s", ["event_id"], events.fold_events, 4)
+    for k in range(2):
+        store.apply(deliveries(spark, [(f"e{i}", i, "x", i + k) for i in range(100)]), k)
+    assert len(plans) == 2
+    for folded, dealt in plans:
+        assert folded._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        parts = dealt.select(F.spark_partition_id().alias("part"), F.pmod(F.hash("event_id"), F.lit(4)).alias("bucket")).distinct().collect()
+        assert len({r["part"] for r in parts}) == len(parts) and len({r["bucket"] for r in parts}) == 4
+    old = store.manifest.current()
+    store.manifest.publish(old[0] + 1, {k: v for k, v in old[1].items() if k != "by"} | {"batch": 2, "buckets": {}})  # of a time without `by`
+    store.apply(deliveries(spark, [("e1", 1, "x", 1)]), 3)
+    assert store.manifest.current()[1]["by"] == "xxhash64" and state(store) == [("e1", 1, "x")]
+
+
 def test_several_keys(spark, tmp_path):
     fold = lambda rows: rows.groupBy("a", "b").agg(F.max("n").alias("n"))
     store = KeyedStore(spark, f"file://{tmp_path}/s", ["a", "b"], fold, 3)
