@@ -19,7 +19,7 @@ whenever the length doubles, without an end; blank lines stay as they are.
    the line's beginning, the others from its end.  One segment of the shorter line is untouched, has at most j edits
    on its own side if it is the j-th from there (from 0), and k - j on the other: so the longer line has it at most j places from
    where it was, and probes 2 j + 1 places.  A line is filed for the next k too where a line of the next k can be near it.
-   Most keys are of one line only: keys are counted first, and the others made again with the lines' places.
+   Most keys are of one line only: keys are counted first, many to a row, and the others made again with the lines' places.
 6. Lines with such a key in common are paired and verified if they are at most `SMALL`; more are dealt into parts, and each
    two parts meet in one task (`tile`), which verifies what letters and lengths allow and returns lines, not pairs.  That is
    quadratic in the lines of one key, but bounded in memory and distributed.
@@ -52,6 +52,8 @@ PARTS = 8
 TWO = 52
 #: Lines of a part, where more than SMALL have a key in common.
 TILE = 128
+#: Code points hashed at once, keys sorted at once in a task, and lines for each group in which keys are counted.
+BLOCK, SORTED, GROUP = 1 << 15, 1 << 20, 2048
 BITMAP = 1 << 24
 KEY_BITMAP = 1 << 26
 U64 = np.uint64
@@ -118,10 +120,26 @@ class Lines:
         per_text = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
         self.row = np.repeat(np.arange(len(texts)), per_text)
         self.pos = np.arange(len(self.row)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        self.prefix = textops.rolling(MIXED[codes] if not len(codes) or codes.max() < len(MIXED) else textops.mix(codes.astype(U64) + U64(1)))
+        self.prefix = np.zeros(len(codes) + 1, dtype=U64)
+        usual, (up, _) = not len(codes) or codes.max() < len(MIXED), textops.powers(len(codes))
+        for at in range(0, len(codes), BLOCK):  # `textops.rolling`, a block at a time, so that what lies between stays in the CPU's cache
+            some = codes[at : at + BLOCK]
+            values = MIXED[some] if usual else textops.mix(some.astype(U64) + U64(1))
+            values *= up[at : at + len(some)]
+            values[:1] += self.prefix[at : at + 1]
+            np.cumsum(values, out=self.prefix[at + 1 : at + 1 + len(some)])
         self.chars = self.ends - self.starts
-        seen = np.concatenate([[0], np.cumsum(SOLID[np.minimum(codes, len(SOLID) - 1)], dtype=np.int32)])
-        self.blank = seen[self.ends] == seen[self.starts]
+        self.blank = self.chars == 0
+        solid = lambda codes: SOLID[np.minimum(codes, len(SOLID) - 1)]
+        unsure = np.flatnonzero(~self.blank)
+        for i in range(8):  # most lines begin with what is no white space
+            unsure = unsure[~solid(codes[self.starts[unsure] + i])]
+            over = self.chars[unsure] == i + 1
+            self.blank[unsure[over]] = True
+            unsure = unsure[~over]
+        if len(unsure):
+            seen = np.concatenate([[0], np.cumsum(solid(codes), dtype=np.int32)])
+            self.blank[unsure] = seen[self.ends[unsure]] == seen[self.starts[unsure]]
 
     def id_hashes(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = textops.span_hash(self.prefix, self.starts[some], self.ends[some])
@@ -131,8 +149,9 @@ class Lines:
             other = textops.mix(textops.span_hash(self.prefix, self.starts[some], half) * U64(3) + textops.span_hash(self.prefix, half, self.ends[some]))
         return h.view(np.int64), other.view(np.int64)
 
-    def seeds(self, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, int, bool]]:
-        """Keys of untouched segments: lines (of some), their keys, threshold, place (2 j, or 2 j + 1 from the end), shift, and whether they may be the longer line."""
+    def seeds(self, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray, bool]]:
+        """Keys of untouched segments: lines (of some), their keys (a row for each segment and shift), threshold, each row's place
+        (2 j, or 2 j + 1 from the end) and shift, and whether they may be the longer line."""
         n = self.chars[some]
         top = edits(int(n.max())) + 1 if len(n) else 0
         for k in range(2, top + 1):
@@ -141,14 +160,15 @@ class Lines:
                 at = some[mine]
                 if not len(at):
                     continue
-                for side, of in ((0, k // 2 + 1), (1, (k + 1) // 2)):
-                    for j in range(of):
-                        for shift in range(-j, j + 1) if long else (0,):
-                            # a shift is to the right from the beginning, and to the left from the end
-                            start = self.starts[at] + j * size + shift if side == 0 else self.ends[at] - (j + 1) * size - shift
-                            with np.errstate(over="ignore"):
-                                key = textops.mix(textops.span_hash(self.prefix, start, start + size) * U64(5) + U64((k << 32) + 2 * j + side) * U64(11))
-                            yield at, key.view(np.int64), k, 2 * j + side, shift, long
+                said = np.array([(side, j, shift) for side, of in ((0, k // 2 + 1), (1, (k + 1) // 2)) for j in range(of) for shift in (range(-j, j + 1) if long else (0,))])
+                side, j, shift = (x[:, None] for x in said.T)
+                # a shift is to the right from the beginning, and to the left from the end
+                start = np.where(side == 0, self.starts[at] + (j * size + shift), self.ends[at] - ((j + 1) * size + shift))
+                place = 2 * j + side
+                key = textops.span_hash(self.prefix, start, start + size)
+                key *= U64(5)
+                key += ((k << 32) + place).astype(U64) * U64(11)
+                yield at, textops.mix(key).view(np.int64), k, place[:, 0], shift[:, 0], long
 
     def keys(self, some: np.ndarray, base: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
         """Keys of (base length, first a characters, last z characters)."""
@@ -169,28 +189,38 @@ def _docs(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 
-def occurrences(docs: DataFrame, keys: bool) -> DataFrame:
-    """doc_id, mark, pos and two hashes of every line that takes part, and its first four keys if wanted."""
+def occurrences(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """doc_id, mark, pos and two hashes of every line that takes part, its length and first four keys (0 where it needs none).
+
+    With the bits of some first hashes as `only`: the lines that have one of them, without lengths and keys.
+    """
+    bits = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, lines in _slices(batches):
             some = np.flatnonzero((lines.chars >= MIN_CHARS) & ~lines.blank)
-            row = pa.array(lines.row[some])
             h, g = lines.id_hashes(some)
+            if bits is not None:
+                there = marked(bits.value, h & (KEY_BITMAP - 1))
+                some, h, g = some[there], h[there], g[there]
+            row = pa.array(lines.row[some])
             columns = [part.column("doc_id").take(row), part.column("mark").take(row), pa.array(lines.pos[some]), pa.array(h), pa.array(g)]
             names = [*ID, "h", "g"]
-            if keys:
-                n = lines.chars[some]
-                columns.append(pa.array(n))
+            if bits is None:
+                columns.append(pa.array(lines.chars[some]))
                 names.append("chars")
+                short = np.flatnonzero((lines.chars[some] >= NEAR_CHARS - 1) & (lines.chars[some] < TWO))
+                n = lines.chars[some[short]]
                 for k, base in enumerate((n, n - 1)):
                     zero = np.zeros_like(n)
                     for side, (a, z) in enumerate(((base // 2, zero), (zero, base - base // 2))):
-                        columns.append(pa.array(lines.keys(some, base, a, z)))
+                        key = np.zeros(len(some), dtype=np.int64)
+                        key[short] = lines.keys(some[short], base, a, z)
+                        columns.append(pa.array(key))
                         names.append(f"k{2 * k + side}")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, mark long, pos long, h long, g long" + (", chars long, k0 long, k1 long, k2 long, k3 long" if keys else "")
+    schema = "doc_id long, mark long, pos long, h long, g long" + (", chars long, k0 long, k1 long, k2 long, k3 long" if only is None else "")
     return in_batches(_docs(docs), task, schema)
 
 
@@ -243,20 +273,57 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(ID).filter(pa.array(good, type=pa.bool_()))
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """key, a line's hash, and whether the key is one that it is filed under."""
+def extremes(key: np.ndarray, said: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the least and largest of what is said of each, whose lowest bit is set if it is anywhere."""
+    order = np.argsort(key)
+    key, said = key[order], said[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    bit = np.bitwise_or.reduceat(said & U64(1), first)
+    line = said & ~U64(1)
+    return key[first], np.minimum.reduceat(line, first) | bit, np.maximum.reduceat(line, first) | bit
+
+
+def shared_seeds(docs: DataFrame, n_lines: int) -> DataFrame:
+    """The keys that two different lines or more have, one of which is filed under it (its shift is 0).
+
+    Nearly all keys are of one line, so a row is not a key: a task sorts many and sends a range of them as one row, and
+    tasks count ranges.  Ranges are as many as lines need; of a key, a row has two lines at most.  A line is 63 bits of its hash.
+    """
+    groups = max(64, n_lines // GROUP)
+
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, low, high = extremes(*(np.concatenate(x) for x in zip(*held)))
+        twice = 1 + (low != high)
+        at = np.repeat(np.arange(len(key)), twice)
+        said = low[at]
+        said[np.cumsum(twice) - 1] = high
+        key = key[at]
+        group = ((key >> U64(32)) * U64(groups)) >> U64(32)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        offsets = pa.py_buffer((np.append(first, len(key)) * 8).astype(np.int32))
+        packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(x)]) for x in (key, said)]
+        return pa.RecordBatch.from_arrays([pa.array(group[first].astype(np.int64)), *packed], names=["range", "keys", "lines"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for _, lines in _slices(batches):
             some = np.flatnonzero((lines.chars >= TWO - 2) & ~lines.blank)
-            h = np.zeros(len(lines.chars), dtype=np.int64)
-            h[some] = lines.id_hashes(some)[0]
-            found = [(at, key, np.full(len(at), shift == 0)) for at, key, _, _, shift, _ in lines.seeds(some)]
-            if found:
-                at, key, filed = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[at]), pa.array(filed)], names=["key", "h", "filed"])
+            h = np.zeros(len(lines.chars), dtype=U64)
+            h[some] = lines.id_hashes(some)[0].view(U64) & ~U64(1)
+            for at, key, _, _, shift, _ in lines.seeds(some):
+                held.append((key.view(U64).ravel(), (h[at] | (shift == 0).astype(U64)[:, None]).ravel()))
+                size += key.size
+            if size >= SORTED:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
+
+    def count(group: pa.Table) -> pa.Table:
+        key, low, high = extremes(*(np.frombuffer(b"".join(group.column(c).to_pylist()), dtype=U64) for c in ("keys", "lines")))
+        return pa.table({"key": key[(low != high) & ((low & U64(1)) == 1)].view(np.int64)})
 
-    return in_batches(_docs(docs), task, "key long, h long, filed boolean")
+    return in_batches(_docs(docs), task, "range long, keys binary, lines binary").groupBy("range").applyInArrow(count, "key long")
 
 
 def placed(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -267,14 +334,14 @@ def placed(docs: DataFrame, keys: DataFrame) -> DataFrame:
         for part, lines in _slices(batches):
             some = np.flatnonzero((lines.chars >= TWO - 2) & ~lines.blank)
             found = []
-            for at, key, *said in lines.seeds(some):
-                there = marked(bits.value, key & (KEY_BITMAP - 1))
-                found.append((at[there], key[there], *[np.full(int(there.sum()), x, dtype=np.int32) for x in said]))
+            for at, key, k, place, shift, long in lines.seeds(some):
+                one, line = np.nonzero(marked(bits.value, key & (KEY_BITMAP - 1)))
+                found.append((at[line], key[one, line], np.full(len(one), k, dtype=np.int32), place[one].astype(np.int32), shift[one].astype(np.int32), np.full(len(one), long)))
             if found:
                 at, key, k, place, shift, long = (np.concatenate(x) for x in zip(*found))
                 row = pa.array(lines.row[at])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), part.column("doc_id").take(row), part.column("mark").take(row), pa.array(lines.pos[at]), pa.array(lines.chars[at]), pa.array(k), pa.array(place), pa.array(shift), pa.array(long.astype(bool))],
+                    [pa.array(key), part.column("doc_id").take(row), part.column("mark").take(row), pa.array(lines.pos[at]), pa.array(lines.chars[at]), pa.array(k), pa.array(place), pa.array(shift), pa.array(long)],
                     names=["key", *ID, "chars", "k", "place", "shift", "long"])
 
     return in_batches(_docs(docs), task, "key long, doc_id long, mark long, pos long, chars long, k int, place int, shift int, long boolean").join(keys.select("key"), "key", "left_semi")
@@ -307,7 +374,7 @@ def tile(group: pa.Table) -> pa.Table:
 
 def later_long_lines(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of lines with more than one edit: pairs to verify (later and earlier), and later lines of large groups, verified."""
-    shared = cut(seeds(docs).groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.bool_or("filed").alias("filed")).where("filed and low <> high").select("key"))
+    shared = cut(shared_seeds(docs, lines.count()))
     live = cut(placed(docs, shared).join(lines.select(*ID), ID, "left_semi"))  # first occurrences
     sizes = cut(live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     few = live.join(sizes.where(F.col("size") <= SMALL).select("key"), "key")
@@ -378,13 +445,14 @@ def later_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, mark and pos of every line occurrence to remove."""
-    every = occurrences(docs, keys=True)
+    every = occurrences(docs)
     keys = ["chars", "k0", "k1", "k2", "k3"]
-    lines = cut(every.groupBy("h", "g").agg(F.min(F.struct(*ID)).alias("first"), *[F.first(k).alias(k) for k in keys])
-                .select("h", "g", "first.*", *keys))
+    lines = cut(every.groupBy("h", "g").agg(F.min(F.struct(*ID)).alias("first"), (F.count(F.lit(1)) > 1).alias("again"), *[F.first(k).alias(k) for k in keys])
+                .select("h", "g", "first.*", "again", *keys))
     later = later_lines(docs, lines).withColumn("gone", F.lit(True))
-    judged = lines.select("h", "g", *ID).join(later, ID, "left").select("h", "g", F.struct(*ID).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    return (occurrences(docs, keys=False).join(judged, ["h", "g"])
+    judged = lines.select("h", "g", *ID, "again").join(later, ID, "left").where("gone or again")
+    judged = cut(judged.select("h", "g", F.struct(*ID).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")))
+    return (occurrences(docs, bitmap(judged, ["h"], KEY_BITMAP, F.pmod("h", F.lit(KEY_BITMAP)))).join(judged, ["h", "g"])
             .where(F.col("gone") | (F.struct(*ID) != F.col("first"))).select(*ID))
 
 

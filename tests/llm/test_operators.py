@@ -619,3 +619,25 @@ def test_url_filter(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracles(spark, name):
     same(queries.queries()[name](spark, SF).toPandas(), connect(SF).execute(queries.oracle_sql()[name]).df())
+
+
+def test_line_dedup_reads_keys_once_for_all(spark):
+    """Keys are those that two lines have and one is filed under, in few rows; blank lines and prefixes are as defined."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijkl ") for _ in range(rnd.choice([20, 60, 110, 250])))
+    pool = [word() for _ in range(60)]
+    own = [*pool, *(x[:30] + "#" + x[30:] for x in pool), *(x[1:] for x in pool[:20]), " " * 70, " " * 9 + "y" * 60]
+    texts = ["\n".join(rnd.choices(own, k=12)) for _ in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = {}
+    for text in texts:
+        found = lines.Lines([text])
+        assert found.blank.tolist() == [not x.strip() for x in text.split("\n")]
+        assert (found.prefix == textops.rolling(lines.MIXED[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)])).all()
+        for at, key, _, _, shift, _ in found.seeds(np.flatnonzero(~found.blank)):
+            for row, s in zip(key.tolist(), shift.tolist()):
+                for k, x in zip(row, at.tolist()):
+                    seen.setdefault(k, []).append((text.split("\n")[x], s == 0))
+    want = {k for k, of in seen.items() if len({x for x, _ in of}) > 1 and any(f for _, f in of)}
+    got = [r["key"] for r in lines.shared_seeds(table, 1).collect()]
+    assert want and set(got) == want and len(got) == len(want)
