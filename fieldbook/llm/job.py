@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -26,13 +29,44 @@ def tokenizer_file(name: str) -> str:
 BATCH_BYTES = 8_000_000
 
 
+#: What tasks keep in their worker for later ones, as tokenizers; a task of another module empties them.
+CACHES: list[dict] = []
+#: Batches after which a task gives back memory that it has let go.
+GIVE_BACK = 8
+_last = [""]
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def give_back() -> None:
+    """Returns to the system what this process no longer uses: a worker lives as long as the session and serves all operators."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def frugal(task: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """task(batches) in a worker that holds no other operator's memory, and none of its own that is free."""
+    if _last[0] != task.__module__:
+        _last[0] = task.__module__
+        for cache in CACHES:
+            cache.clear()
+        give_back()
+    try:
+        for i, batch in enumerate(task(batches)):
+            yield batch
+            if i % GIVE_BACK == GIVE_BACK - 1:
+                give_back()
+    finally:
+        give_back()
+
+
 def in_batches(df: DataFrame, task: Callable, schema) -> DataFrame:
-    """df.mapInArrow(task, schema), with batches bounded in bytes as well as rows (a smaller setting of the session holds)."""
+    """df.mapInArrow(task, schema), with batches bounded in bytes as well as rows (a smaller setting of the session holds), run by `frugal`."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(name).rstrip("bB")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         conf.set(name, f"{BATCH_BYTES}b")
-    return df.mapInArrow(task, schema)
+    return df.mapInArrow(lambda batches: frugal(task, batches), schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 from fieldbook.llm import textops
+from fieldbook.llm.job import CACHES
 
 EOS = 2
 CACHE, PIECES, CHUNK_IDS = 600_000, 50_000, 64
@@ -93,10 +94,11 @@ class WordTokenizer:
 
 
 _open: dict[str, WordTokenizer] = {}
+CACHES.append(_open)
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One per worker process and file."""
+    """One per worker process and file, as long as tasks of one operator follow each other."""
     if path not in _open:
         _open[path] = WordTokenizer(path)
     return _open[path]

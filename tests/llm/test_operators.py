@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import connect, same
-from fieldbook.llm import chat, counting, jaccard, language, lines, mixing, packing, queries, simhash, textops, topk, url_filter
+from fieldbook.llm import chat, counting, jaccard, job, language, lines, mixing, packing, queries, simhash, textops, tokens, topk, url_filter
 from fieldbook.llm.components import components
 from fieldbook.llm.job import beside, tokenizer_file
 
@@ -621,6 +621,29 @@ def test_oracles(spark, name):
     same(queries.queries()[name](spark, SF).toPandas(), connect(SF).execute(queries.oracle_sql()[name]).df())
 
 
+def test_workers_keep_no_other_operators_memory():
+    """A tokenizer goes when another operator's task begins, and what a task let go of returns to the system."""
+    import re
+    from pathlib import Path
+
+    def megabytes():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()).group(1)) / 1024
+
+    def task(batches):
+        yield from batches
+
+    path = tokenizer_file("word_bpe_49k.json")
+    task.__module__ = "fieldbook.llm.packing"
+    assert list(job.frugal(task, iter([1]))) == [1] and tokens.word_tokenizer(path) is tokens.word_tokenizer(path)
+    assert list(job.frugal(task, iter([1, 2]))) == [1, 2] and path in tokens._open
+    task.__module__ = "fieldbook.llm.language"
+    assert list(job.frugal(task, iter(range(20)))) == list(range(20)) and not tokens._open
+    held = [bytearray(2000) for _ in range(50_000)]
+    held[:] = held[::500]
+    before = megabytes()
+    assert list(job.frugal(task, iter([1]))) == [1] and megabytes() < before - 50
+
+
 def test_line_dedup_reads_keys_once_for_all(spark):
     """Keys are those that two lines have and one is filed under, in few rows; blank lines and prefixes are as defined."""
     rnd = random.Random(11)
